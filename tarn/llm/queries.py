@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tarn.llm import exact, mixing, secrets, urls
+from tarn.llm import exact, mixing, quality, secrets, simhash, toxicity, urls
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op5_quality_classifier": quality.op5_quality_classifier,
         "op8_url_filter": urls.op8_url_filter,
         "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
