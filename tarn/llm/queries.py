@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import exact, mixing, quality, secrets, simhash, toxicity, urls
+from tarn.llm import decontaminate, exact, mixing, quality, secrets, simhash, toxicity, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_exact_dedup": exact.op3_exact_dedup,
         "op5_quality_classifier": quality.op5_quality_classifier,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_url_filter": urls.op8_url_filter,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_toxicity": toxicity.op10_toxicity,
