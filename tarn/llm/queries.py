@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, exact, mixing, quality, secrets, simhash, toxicity, urls
+from tarn.llm import decontaminate, exact, mixing, quality, secrets, simhash, suffix, toxicity, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op3_exact_dedup": exact.op3_exact_dedup,
+        "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_url_filter": urls.op8_url_filter,
