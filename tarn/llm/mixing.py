@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.shared import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Hexadecimal digits of a document's seeded draw by which its source is first cut into slices.
 SLICE_DIGITS = 4
+#: Sources up to which their parameters, a row each, are sent to every executor; beyond it the join is shuffled.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -62,7 +66,8 @@ def mix(
     draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     rows = docs.drop(*added).withColumns({"size": word_count("text"), "_draw": draw})
     rows = rows.withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
-    slices = rows.groupBy("source", "_slice").agg(F.sum("size").alias("in_slice"))
+    slices = cut(rows.groupBy("source", "_slice").agg(F.sum("size").alias("in_slice")), "slices")
+    few = slices.select("source").distinct().count() <= BROADCAST_SOURCES
     sizes = water_fill(slices.groupBy("source").agg(F.sum("in_slice").alias("source_size")), weights, budget, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     sizes = sizes.withColumn("copies", whole.cast("long"))
@@ -77,6 +82,7 @@ def mix(
         F.col("source").alias("_e"), F.col("e._slice").alias("_edge"), (F.col("e._upto") - F.col("e.in_slice")).alias("_before")
     )
     plan = sizes.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e").withColumnRenamed("source", "_src")
+    plan = F.broadcast(cut(plan, "plan")) if few else plan
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "weight")
     on_edge = F.col("_slice") == F.col("_edge")
     order = Window.partitionBy("source").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
