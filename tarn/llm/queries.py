@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, exact, mixing, quality, secrets, simhash, suffix, toxicity, urls
+from tarn.llm import decontaminate, exact, lines, mixing, quality, secrets, simhash, suffix, toxicity, urls
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_suffix_dedup": suffix.op4_suffix_dedup,
         "op5_quality_classifier": quality.op5_quality_classifier,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_line_dedup": lines.op7_line_dedup,
         "op8_url_filter": urls.op8_url_filter,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_toxicity": toxicity.op10_toxicity,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.bloom import bloom_filter, possible_hits
+
 #: (host, path, verdict). A rule fits its host and all subdomains if the url's path starts with the rule's.
 RULES = (
     ("com", "/en/", "block"),
@@ -19,10 +20,6 @@ RULES = (
 PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 #: Query keys that only track visitors.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
-BITS_PER_KEY = 16
-WORDS = 4
-#: Bytes of filter words up to which the filter is sent to every executor; beyond it the probe is a shuffled join.
-BROADCAST_BYTES = 64 << 20
 
 
 def host_of(url: Column | str) -> Column:
@@ -55,38 +52,6 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return rule, verdict
 
 
-def _blocks(n_keys: int) -> int:
-    return 1 << max(0, math.ceil(math.log2(max(1, n_keys * BITS_PER_KEY / (64 * WORDS)))))
-
-
-def _mask(key: Column, word: int) -> Column:
-    bit = F.shiftrightunsigned(F.xxhash64(key, F.lit(1)), 6 * word).bitwiseAND(63).cast("int")
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-
-
-def bloom_filter(keys: DataFrame, n_keys: int) -> DataFrame:
-    """keys (canon) -> (block, w0..w3): a key sets one bit in each 64-bit word of its one block.
-
-    Blocks number a power of two so that keys get BITS_PER_KEY bits each; words are merged by bit_or on the map side.
-    """
-    block = F.pmod(F.xxhash64("canon"), F.lit(_blocks(n_keys))).alias("block")
-    words = [F.bit_or(_mask(F.col("canon"), i)).alias(f"w{i}") for i in range(WORDS)]
-    return keys.groupBy(block).agg(*words)
-
-
-def possible_hits(rows: DataFrame, filter_words: DataFrame, n_keys: int) -> DataFrame:
-    """Adds `possible` to rows that have canon: false only if canon is surely not in the filter."""
-    blocks = _blocks(n_keys)
-    size = blocks * 8 * (WORDS + 1)
-    words = F.broadcast(filter_words) if size <= BROADCAST_BYTES else filter_words
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("canon"), F.lit(blocks))).join(words, "block", "left")
-    all_set = F.lit(True)
-    for i in range(WORDS):
-        mask = _mask(F.col("canon"), i)
-        all_set = all_set & F.coalesce(F.col(f"w{i}").bitwiseAND(mask) == mask, F.lit(False))
-    return rows.withColumn("possible", all_set).drop("block", *[f"w{i}" for i in range(WORDS)])
-
-
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """All columns of pages (url among them) and host, path, canon, rule, possible, listed, verdict.
 
@@ -103,7 +68,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rows = pages.drop(*added).withColumns({"host": host_of("url"), "path": path_of("url"), "canon": canonical_url("url")})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_said": verdict})
-    rows = possible_hits(rows, bloom_filter(keys, n_keys), n_keys)
+    rows = possible_hits(rows, "canon", bloom_filter(keys, "canon", n_keys), n_keys)
     doubtful = rows.where(F.col("possible") & F.col("rule").isNull())
     clear = rows.where(~(F.col("possible") & F.col("rule").isNull())).withColumn("listed", F.lit(False))
     sure = keys.withColumn("listed", F.lit(True))
