@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -77,9 +78,8 @@ def fit(sample: Sample) -> SentenceModel:
     if not 0 < y.sum() < len(y):
         return SentenceModel({}, -20.0)
     seen = [Counter(), Counter()]
-    split = [[features(s) for s in _SENTENCE.findall(t.lower())] for t in sample.texts]
-    for sentences, label in zip(split, sample.labels):
-        seen[label].update(set().union(*sentences))
+    for text, label in zip(sample.texts, sample.labels):
+        seen[label].update(features(text.lower()))
     share = y.mean()
     apart = {}
     for f in seen[0].keys() | seen[1].keys():
@@ -89,12 +89,13 @@ def fit(sample: Sample) -> SentenceModel:
     place = {f: i for i, f in enumerate(sorted(apart, key=lambda f: (-apart[f], f))[:FEATURES])}
     if not place:
         return SentenceModel({}, math.log(share / (1 - share)))
-    sentence, feature, document = [], [], []
-    for d, sentences in enumerate(split):
-        for s in sentences:
-            known = sorted(place[f] for f in s if f in place)
-            sentence += [len(document)] * len(known)
-            feature += known
+    del seen, apart
+    sentence, feature, document = array("q"), array("q"), array("q")
+    for d, text in enumerate(sample.texts):
+        for s in _SENTENCE.findall(text.lower()):
+            known = sorted(place[f] for f in features(s) if f in place)
+            sentence.extend([len(document)] * len(known))
+            feature.extend(known)
             document.append(d)
     sentence, feature, document = (np.array(x, dtype=np.int64) for x in (sentence, feature, document))
     weight = np.where(y == 1, sample.totals[1] / y.sum(), sample.totals[0] / (len(y) - y.sum()))
