@@ -12,7 +12,7 @@ from tarn.llm.shared import cut
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Hexadecimal digits of a document's seeded draw by which its source is first cut into slices.
-SLICE_DIGITS = 4
+SLICE_DIGITS = 3
 #: Sources up to which their parameters, a row each, are sent to every executor; beyond it the join is shuffled.
 BROADCAST_SOURCES = 100_000
 
