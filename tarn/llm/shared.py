@@ -32,6 +32,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def cut_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """cut() into as many buckets of key as shuffles have partitions: joins on key then leave this side where it is."""
+    spark = df.sparkSession
+    run = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/tarn-{name}-{run}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"tarn_{name.replace('-', '_')}_{run}"
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    _written[path] = spark
+    out = spark.table(table)
+    out._tarn_path = path
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that cut() wrote, once nothing reads it any more."""
     path = getattr(df, "_tarn_path", None)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import cut
+from tarn.llm.shared import cut, cut_bucketed
 
 #: Bytes of a string that must not repeat, and of the anchors by which its occurrences meet.
 MATCH = 50
@@ -22,6 +22,8 @@ SPAN = MATCH - GRAM + 1
 PACK_BYTES = 4 << 20
 #: Positions whose hashes are in memory at once.
 CHUNK = 1 << 17
+#: Suffixes that are sorted together, beyond those of one anchor.
+SORT_STARTS = 1 << 16
 _PLACE = np.uint64((1 << 18) - 1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
@@ -66,14 +68,14 @@ class Pack:
         self.bounds = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
         self.raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=int(self.bounds[-1]) or 1) if self.bounds[-1] else b""
 
-    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first, last, anchor hash, document) of each run of string starts that share an anchor.
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first, last, anchor hash, document, anchor) of each run of string starts that share an anchor.
 
         The anchor of a string of MATCH bytes is the place of its least hash of GRAM bytes, the first of equals. It depends
         on the string alone, so equal strings have equal anchors at equal offsets.
         """
         n = len(self.raw) - MATCH + 1
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         data = np.frombuffer(self.raw, np.uint8)
         for base in range(0, max(0, n), CHUNK):
             count = min(CHUNK, n - base)
@@ -88,15 +90,19 @@ class Pack:
             inner = self.bounds[(self.bounds > base) & (self.bounds < base + count)] - base
             cuts = np.unique(np.concatenate([[0], cuts, inner]))
             ends = np.concatenate([cuts[1:], [count]]) - 1
-            parts.append((cuts + base, ends + base, grams[anchor[cuts]]))
+            parts.append((cuts + base, ends + base, grams[anchor[cuts]], anchor[cuts] + base))
         if not parts:
             none = np.array([], np.int64)
-            return none, none, none.astype(np.uint64), none
-        first, last, hashes = (np.concatenate(x) for x in zip(*parts))
+            return none, none, none.astype(np.uint64), none, none
+        first, last, hashes, anchor = (np.concatenate(x) for x in zip(*parts))
+        # least hashes crowd at the low end; the buckets cut the range of these evenly
+        hashes = hashes * np.uint64(0xA24BAED4963EE407)
+        hashes ^= hashes >> np.uint64(31)
+        hashes *= _MUL
         doc = np.searchsorted(self.bounds, first, side="right") - 1
         last = np.minimum(last, self.bounds[doc + 1] - MATCH)
         inside = last >= first
-        return first[inside], last[inside], hashes[inside], doc[inside]
+        return first[inside], last[inside], hashes[inside], doc[inside], anchor[inside]
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -141,7 +147,7 @@ def _anchor_rows(buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, pack, _ in _packs(batch):
-                _, _, hashes, doc = pack.segments()
+                _, _, hashes, doc, _ = pack.segments()
                 known, several = _distinct_anchors(hashes, doc)
                 # 39 bits tell a bucket's anchors apart well enough: a false match costs work, not results
                 short = ((known & np.uint64((1 << 40) - 1)) >> np.uint64(1) << np.uint64(1)) | several.astype(np.uint64)
@@ -205,7 +211,7 @@ class SharedSegments:
     """The segments of a pack whose anchor another document has too, equal contents told apart once."""
 
     def __init__(self, pack: Pack, shared: list[dict] | None, buckets: int) -> None:
-        first, last, hashes, doc = pack.segments()
+        first, last, hashes, doc, anchor = pack.segments()
         known, _ = _distinct_anchors(hashes, doc)
         flag = np.zeros(len(known), bool)
         where = _bucket(known, buckets)
@@ -226,8 +232,8 @@ class SharedSegments:
         np.minimum.at(self.owner, self.content, pack.ids[self.doc])
         self.bucket = np.zeros(len(places), np.int64)
         self.bucket[self.content] = _bucket(hashes, buckets)
-        self.anchor = np.zeros(len(places), np.uint64)
-        self.anchor[self.content] = hashes
+        self.offset = np.zeros(len(places), np.uint8)
+        self.offset[self.content] = anchor[hot] - self.first
 
 
 def _segment_rows(buckets: int):
@@ -237,22 +243,19 @@ def _segment_rows(buckets: int):
                 found = SharedSegments(pack, batch.column("shared")[i].as_py(), buckets)
                 order = np.argsort(found.bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(found.bucket[order])) + 1
-                packer = zstandard.ZstdCompressor(level=1)
+                packer = zstandard.ZstdCompressor(level=3)
                 out = []
                 for lo, hi in _slices(edges, len(order)):
                     own = order[lo:hi]
                     texts = [found.contents[k] for k in own]
                     widths = np.fromiter(map(len, texts), np.uint8, len(texts))
-                    body = packer.compress(b"".join(texts))
-                    out.append(
-                        (
-                            int(found.bucket[own[0]]), number, widths.tobytes(), packer.compress(found.owner[own].tobytes()),
-                            found.anchor[own].tobytes(), own.astype(np.int32).tobytes(), body,
-                        )
-                    )
-                kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+                    gaps = np.diff(own, prepend=0).astype(np.int32)
+                    sides = (widths, found.offset[own], found.owner[own].view(np.uint8).reshape(-1, 8).T, gaps.view(np.uint8).reshape(-1, 4).T)
+                    side = packer.compress(b"".join(x.tobytes() for x in sides))
+                    out.append((int(found.bucket[own[0]]), number, side, packer.compress(b"".join(texts))))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 cols = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(cols, ["bucket", "pack", "widths", "owners", "anchors", "places", "body"])
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "pack", "side", "body"])
 
     return rows
 
@@ -318,58 +321,75 @@ def _range_min(values: np.ndarray):
     return least
 
 
+def _compare(pick: np.ndarray, text: np.ndarray, offsets: np.ndarray, base: np.ndarray, n_starts: np.ndarray, best: np.ndarray) -> None:
+    """Sorts the suffixes of the picked contents and sets `best` to their strings' smallest documents."""
+    n = n_starts[pick]
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = np.repeat(base[pick], n) + inner
+    docs = best[place]
+    padded = np.zeros((len(place), -(-MATCH // 8) * 8), np.uint8)
+    padded[:, :MATCH] = np.lib.stride_tricks.sliding_window_view(text, MATCH)[np.repeat(offsets[pick], n) + inner]
+    keys = padded.view(">u8").astype(np.uint64)
+    order = np.lexsort((docs, *keys.T[::-1]))
+    padded = padded[order]
+    differ = padded[1:] != padded[:-1]
+    lcp = np.zeros(len(order), np.uint8)
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), MATCH)
+    length, earliest = longest_previous_factors(docs[order], lcp)
+    best[place[order]] = np.where(length >= MATCH, earliest, docs[order])
+
+
 def _earliest(table: pa.Table) -> pa.Table:
     """For each pack's contents in this bucket: the smallest document of each of its strings, where that isn't its own."""
     names: dict[bytes, int] = {}
     owner: list[int] = []
-    anchor: list[int] = []
+    offset: list[int] = []
     rows = []
     unpack = zstandard.ZstdDecompressor()
-    for r in table.select(["pack", "widths", "owners", "anchors", "places", "body"]).to_pylist():
-        ends = np.cumsum(np.frombuffer(r["widths"], np.uint8), dtype=np.int64).tolist()
-        body, lo, ids = unpack.decompress(r["body"]), 0, []
-        owners = np.frombuffer(unpack.decompress(r["owners"]), np.int64).tolist()
-        for hi, doc, h in zip(ends, owners, np.frombuffer(r["anchors"], np.uint64).tolist()):
+    for number, side, body in zip(*(table.column(c) for c in ("pack", "side", "body"))):
+        side = np.frombuffer(unpack.decompress(side.as_buffer()), np.uint8)
+        body, n, ids = unpack.decompress(body.as_buffer()), len(side) // 14, []
+        own = np.ascontiguousarray(side[2 * n : 10 * n].reshape(8, n).T).view(np.int64).ravel()
+        places = np.cumsum(np.ascontiguousarray(side[10 * n :].reshape(4, n).T).view(np.int32).ravel(), dtype=np.int64)
+        lo = 0
+        for hi, doc, at in zip(np.cumsum(side[:n], dtype=np.int64).tolist(), own.tolist(), side[n : 2 * n].tolist()):
             k = names.setdefault(body[lo:hi], len(owner))
             if k == len(owner):
                 owner.append(doc)
-                anchor.append(h)
+                offset.append(at)
             elif doc < owner[k]:
                 owner[k] = doc
             ids.append(k)
             lo = hi
-        rows.append((r["pack"], np.array(ids, np.int64), np.array(owners, np.int64), np.frombuffer(r["places"], np.int32)))
-    owners, anchors = np.array(owner, np.int64), np.array(anchor, np.uint64)
+        rows.append((number.as_py(), np.array(ids, np.int64), own, places.astype(np.int32)))
+    owners = np.array(owner, np.int64)
     widths = np.fromiter(map(len, names), np.int64, len(names))
     n_starts = widths - MATCH + 1
     base = np.concatenate([[0], np.cumsum(n_starts)])
     best = np.repeat(owners, n_starts)
-    # a string only occurs under its own anchor, so an anchor with one content has nothing else to compare
+    text = np.frombuffer(b"".join(names), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(widths)])[:-1]
+    names.clear()
+    grams = np.lib.stride_tricks.sliding_window_view(text, GRAM)[offsets + np.array(offset, np.int64)]
+    eights = np.ascontiguousarray(grams).view("<u8")
+    anchors = np.zeros(len(grams), np.uint64)
+    for k in range(eights.shape[1]):
+        anchors = (anchors ^ eights[:, k]) * _MUL
+        anchors ^= anchors >> np.uint64(29)
+    # a string only occurs under its own anchor: anchors are sorted apart, and one with one content has nothing to compare
     order = np.argsort(anchors, kind="stable")
-    _, counts = np.unique(anchors, return_counts=True)
-    mixed = np.empty(len(anchors), bool)
-    mixed[order] = np.repeat(counts > 1, counts)
-    if mixed.any():
-        text = np.frombuffer(b"".join(names), np.uint8)
-        offsets = np.concatenate([[0], np.cumsum(widths)])[:-1]
-        pick = np.flatnonzero(mixed)
-        inner = np.arange(n_starts[pick].sum()) - np.repeat(np.cumsum(n_starts[pick]) - n_starts[pick], n_starts[pick])
-        starts = np.repeat(offsets[pick], n_starts[pick]) + inner
-        place = np.repeat(base[pick], n_starts[pick]) + inner
-        docs = best[place]
-        padded = np.zeros((len(starts), -(-MATCH // 8) * 8), np.uint8)
-        padded[:, :MATCH] = np.lib.stride_tricks.sliding_window_view(text, MATCH)[starts]
-        keys = padded.view(">u8").astype(np.uint64)
-        order = np.lexsort((docs, *keys.T[::-1]))
-        differ = keys[order][1:] != keys[order][:-1]
-        sorted_bytes = padded[order]
-        lcp = np.zeros(len(order), np.int64)
-        same = ~differ.any(axis=1)
-        lcp[1:] = np.where(same, MATCH, 0)
-        part = np.flatnonzero(~same)
-        lcp[part + 1] = (sorted_bytes[part + 1] != sorted_bytes[part]).argmax(axis=1)
-        length, earliest = longest_previous_factors(docs[order], lcp)
-        best[place[order]] = np.where(length >= MATCH, earliest, docs[order])
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(anchors[order]) != 0]))
+    ends = np.concatenate([starts[1:], [len(order)]])
+    mixed = ends - starts > 1
+    held, size = [], 0
+    for lo, hi in zip(starts[mixed].tolist(), ends[mixed].tolist()):
+        held.append(order[lo:hi])
+        size += int(n_starts[held[-1]].sum())
+        if size >= SORT_STARTS:
+            _compare(np.concatenate(held), text, offsets, base, n_starts, best)
+            held, size = [], 0
+    if held:
+        _compare(np.concatenate(held), text, offsets, base, n_starts, best)
     out = []
     for number, ids, own, places in rows:
         lowest = np.minimum.reduceat(best, base[:-1])[ids]
@@ -449,7 +469,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, removed: array<struct(start, end)>, kept_sha256, kept; a row per input row.
 
     A byte goes if a string of MATCH bytes over it also starts in a document with a smaller doc_id. Every string has an
-    anchor, so equal strings meet under it. (1) Documents are packed a few MB to a row in the shared folder. (2) Packs send
+    anchor, so equal strings meet under it. (1) Documents are packed a few MB to a row in the shared folder,
+    bucketed by pack so that what is found for them comes to them and they are never shuffled. (2) Packs send
     their distinct anchors, five bytes each, and learn which of them other documents have. (3) The text around those, once
     per pack however often it occurs there, goes to the anchor's suffix bucket; there the suffixes are sorted and their
     longest-previous-factor array gives each string's earliest document. (4) Packs get these answers and cut. A passage
@@ -462,15 +483,13 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     packs = docs.select("doc_id", "text").mapInArrow(_pack, "pack long, ids binary, sizes binary, body binary")
-    packs = cut(packs, "packs")
+    packs = cut_bucketed(packs, "packs", "pack")
     anchors = packs.mapInArrow(_anchor_rows(buckets), "bucket long, pack long, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "pack long, bucket long, shared binary")
     shared = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))
-    packs = cut(packs.join(shared, "pack", "left"), "shared-packs")
-    segments = packs.mapInArrow(
-        _segment_rows(buckets),
-        "bucket long, pack long, widths binary, owners binary, anchors binary, places binary, body binary",
-    )
+    shared = cut(shared, "shared-anchors")
+    packs = packs.join(shared, "pack", "left")
+    segments = packs.mapInArrow(_segment_rows(buckets), "bucket long, pack long, side binary, body binary")
     answers = segments.groupBy("bucket").applyInArrow(_earliest, "pack long, places binary, earliest binary")
     answers = answers.groupBy("pack").agg(F.collect_list(F.struct("places", "earliest")).alias("answers"))
     kind = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string, kept binary"
