@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tarn.plans.scope import under
 
-_PATH = Window.partitionBy("path").orderBy("lsn")
-_FILE = Window.partitionBy("dev", "ino").orderBy("lsn")
+
+def _by_path() -> Window:
+    return Window.partitionBy("path").orderBy("lsn")
+
+
+def _by_file() -> Window:
+    return Window.partitionBy("dev", "ino").orderBy("lsn")
 
 
 # ---------------------------------------------------------------- fold
@@ -23,13 +28,13 @@ def generations(journal: DataFrame) -> DataFrame:
     """
     ups = journal.where("op = 'upsert'").select("lsn", "wall_time_ns", "path", "stat.*")
     born = F.struct("birthtime_ns", "kind")
-    ups = ups.withColumn("fresh", ~born.eqNullSafe(F.lag(born).over(_FILE)))
-    changed = ~F.struct("size", "mtime_ns").eqNullSafe(F.lag(F.struct("size", "mtime_ns")).over(_FILE))
+    ups = ups.withColumn("fresh", ~born.eqNullSafe(F.lag(born).over(_by_file())))
+    changed = ~F.struct("size", "mtime_ns").eqNullSafe(F.lag(F.struct("size", "mtime_ns")).over(_by_file()))
     start = F.when(F.col("fresh"), F.col("lsn"))
     return ups.withColumns(
         {
-            "oid": F.last(start, ignorenulls=True).over(_FILE.rowsBetween(Window.unboundedPreceding, 0)),
-            "ends": F.first(start, ignorenulls=True).over(_FILE.rowsBetween(1, Window.unboundedFollowing)),
+            "oid": F.last(start, ignorenulls=True).over(_by_file().rowsBetween(Window.unboundedPreceding, 0)),
+            "ends": F.first(start, ignorenulls=True).over(_by_file().rowsBetween(1, Window.unboundedFollowing)),
             "clears": F.col("fresh") | changed,
         }
     )
@@ -50,11 +55,11 @@ def bindings(journal: DataFrame, gens: DataFrame | None = None) -> DataFrame:
         journal.where("op = 'content'").select("lsn", "wall_time_ns", "op", "path", F.lit(None).cast("struct<oid:long,ends:long>").alias("b"))
     )
     moves = F.when(F.col("op") != "content", F.col("lsn"))
-    after = _PATH.rowsBetween(1, Window.unboundedFollowing)
+    after = _by_path().rowsBetween(1, Window.unboundedFollowing)
     events = events.withColumns(
         {
-            "now": F.last("b", ignorenulls=True).over(_PATH.rowsBetween(Window.unboundedPreceding, 0)),
-            "was": F.last("b", ignorenulls=True).over(_PATH.rowsBetween(Window.unboundedPreceding, -1)),
+            "now": F.last("b", ignorenulls=True).over(_by_path().rowsBetween(Window.unboundedPreceding, 0)),
+            "was": F.last("b", ignorenulls=True).over(_by_path().rowsBetween(Window.unboundedPreceding, -1)),
             "next_lsn": F.first(moves, ignorenulls=True).over(after),
             "next_wall": F.first(F.when(F.col("op") != "content", F.col("wall_time_ns")), ignorenulls=True).over(after),
         }
@@ -70,7 +75,7 @@ def bindings(journal: DataFrame, gens: DataFrame | None = None) -> DataFrame:
     )
     # a run of the same object on a path starts where the object before it differs
     run = F.when((F.col("op") != "content") & ~F.col("oid").eqNullSafe(F.col("was.oid")), F.col("lsn"))
-    events = events.withColumn("attach_lsn", F.last(run, ignorenulls=True).over(_PATH.rowsBetween(Window.unboundedPreceding, 0)))
+    events = events.withColumn("attach_lsn", F.last(run, ignorenulls=True).over(_by_path().rowsBetween(Window.unboundedPreceding, 0)))
     return events.select("lsn", "wall_time_ns", "op", "path", "oid", "ends", "until", "next_wall", "before", "attach_lsn")
 
 

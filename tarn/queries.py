@@ -239,7 +239,7 @@ def semantic_scoped(spark, sf_dir):
     return engine(spark, sf_dir).semantic(probe_vector(spark, sf_dir), 10, Scope.of("/corpus/src1")).select("oid", "score")
 
 
-@query("semantic_nested_not", f"WITH {_CAT}, {_VEC}, near AS (SELECT sim.oid FROM sim WHERE oid IN (SELECT oid FROM cat) ORDER BY score DESC, oid LIMIT 256) SELECT oid, path FROM cat WHERE oid NOT IN (SELECT oid FROM near) AND size < 1000")
+@query("semantic_nested_not", f"WITH {_CAT}, {_VEC}, near AS (SELECT sim.oid FROM sim ORDER BY score DESC, oid LIMIT 256) SELECT oid, path FROM cat WHERE oid NOT IN (SELECT oid FROM near) AND size < 1000")
 def semantic_nested_not(spark, sf_dir):
     e = engine(spark, sf_dir)
     vec = probe_vector(spark, sf_dir)
