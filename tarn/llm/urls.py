@@ -13,7 +13,7 @@ from tarn.llm.bloom import bloom_filter, possible_hits
 RULES = (
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
@@ -94,7 +94,7 @@ r AS (SELECT *, CASE
    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule FROM c)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN host <> '' AND canon IN (SELECT canon FROM l) THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
