@@ -45,6 +45,14 @@ class LexicalPlane:
         symbols = build_symbols(docs) if "symbols" in docs.columns else None
         return cls(build_postings(docs), build_lengths(docs), symbols)
 
+    def refreshed(self, plan: DataFrame, docs: DataFrame) -> LexicalPlane:
+        """The plane after a batch: oids of plan (oid, action) lose their rows, and those with action refresh get them anew
+        from docs. Rows of other documents stay as they are."""
+        stay = lambda df: df.join(plan.select("oid"), "oid", "left_anti")
+        new = LexicalPlane.build(docs.join(plan.where("action = 'refresh'").select("oid"), "oid", "left_semi"))
+        symbols = None if self.symbols is None else stay(self.symbols).unionByName(new.symbols)
+        return LexicalPlane(stay(self.postings).unionByName(new.postings), stay(self.lengths).unionByName(new.lengths), symbols)
+
     def write(self, path: str) -> None:
         """Postings by term bucket, sorted by term within; the other tables beside them."""
         by_bucket = self.postings.repartition("term_bucket").sortWithinPartitions("term_bucket", "term", "oid")

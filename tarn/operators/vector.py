@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.vectors import Embedder, dot
+from tarn.functions.vectors import Embedder, dot, embed_chunks
 
 #: Of reciprocal ranks, counted from 0.
 RRF_OFFSET = 60
@@ -21,6 +21,11 @@ class VectorPlane:
     chunks: DataFrame
     embedder: Embedder | None = None
 
+    def refreshed(self, plan: DataFrame, docs: DataFrame) -> VectorPlane:
+        """The plane after a batch, as the lexical plane's: only documents to refresh are embedded."""
+        new = embed_chunks(docs.join(plan.where("action = 'refresh'").select("oid"), "oid", "left_semi"), self.embedder)
+        return VectorPlane(self.chunks.join(plan.select("oid"), "oid", "left_anti").unionByName(new), self.embedder)
+
     def _known(self) -> DataFrame:
         if self.embedder is None:
             return self.chunks
