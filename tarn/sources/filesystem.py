@@ -168,7 +168,7 @@ def removals(gone: DataFrame, entries_now: DataFrame, objects_now: DataFrame) ->
     Each entry is joined by its ancestors, so no range join is needed."""
     from tarn.functions.text import ancestors
 
-    kinds = objects_now.select("oid", "kind")
+    kinds, entries_now = objects_now.select("oid", "kind"), entries_now.select("path", "oid")
     tops = gone.select("path").distinct().join(entries_now, "path").join(kinds, "oid").select(F.col("path").alias("top"), "kind")
     each = entries_now.select("path", F.explode(ancestors("path")).alias("top"))
     return each.join(tops, "top").where((F.col("kind") == "dir") | (F.col("path") == F.col("top"))).select("path").distinct()
@@ -193,7 +193,7 @@ def resolve(work: DataFrame, stats: DataFrame, entries_now: DataFrame, objects_n
     A probed folder is read one level if it is the one cataloged there, and whole otherwise. stats: lstat rows of the work
     paths that exist."""
     now = stats.select("path", F.col("kind").alias("fs_kind"), "dev", "ino")
-    known = entries_now.join(objects_now.select("oid", "kind", "dev", "ino"), "oid").where("kind = 'dir'")
+    known = entries_now.select("path", "oid").join(objects_now.select("oid", "kind", "dev", "ino"), "oid").where("kind = 'dir'")
     known = known.select("path", F.col("dev").alias("k_dev"), F.col("ino").alias("k_ino"))
     rows = work.join(now, "path", "left").join(known, "path", "left")
     same = F.coalesce((F.col("dev") == F.col("k_dev")) & (F.col("ino") == F.col("k_ino")), F.lit(False))
