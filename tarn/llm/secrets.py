@@ -48,33 +48,23 @@ def _log_term(n: Column) -> Column:
     return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: a column that is named in a lambda would be computed at each step."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hot_windows(body: Column, least: Column, window: int = WINDOW) -> Column:
     """struct(first, last): starts of the first and last window of `window` characters whose entropy is >= least, or nulls.
 
     The sum of c log2 c over the window's character counts is carried along: each step takes one character out and one in,
     so only those two counts change.
     """
-    codes = F.transform(F.split(body, ""), lambda c: F.ascii(c))
-    first = F.aggregate(
-        F.slice(codes, 1, window),
-        F.array_repeat(F.lit(0), 128),
-        lambda counts, code: F.transform(counts, lambda n, i: n + (i == code).cast("int")),
-    )
+    return _bound(F.transform(F.split(body, ""), lambda c: F.ascii(c)), lambda codes: _hot_windows(codes, least, window))
 
-    def entropy(total):
-        return F.lit(math.log2(window)) - total / window
-
-    def seen(acc, i, total):
-        hot = F.round(entropy(total), 9) >= least
-        return (
-            F.when(hot & acc["first"].isNull(), i).otherwise(acc["first"]).alias("first"),
-            F.when(hot, i).otherwise(acc["last"]).alias("last"),
-        )
 
-    sum0 = F.aggregate(first, F.lit(0.0), lambda s, n: s + _log_term(n))
-    hot0 = F.round(entropy(sum0), 9) >= least
-    at0 = F.when(hot0, F.lit(0))
-    start = F.struct(first.alias("counts"), sum0.alias("total"), at0.alias("first"), at0.alias("last"))
+def _hot_windows(codes: Column, least: Column, window: int) -> Column:
+    def entropy(total):
+        return F.round(F.lit(math.log2(window)) - total / window, 9)
 
     def step(acc, i):
         gone, new = F.element_at(codes, i), F.element_at(codes, i + window)
@@ -82,11 +72,30 @@ def hot_windows(body: Column, least: Column, window: int = WINDOW) -> Column:
         moved = acc["total"] - _log_term(n_gone) + _log_term(n_gone - 1) - _log_term(n_new) + _log_term(n_new + 1)
         total = F.when(gone == new, acc["total"]).otherwise(moved)
         counts = F.transform(acc["counts"], lambda n, k: n - (k == gone).cast("int") + (k == new).cast("int"))
-        f, last = seen(acc, i, total)
-        return F.struct(counts.alias("counts"), total.alias("total"), f, last)
+        hot = entropy(total) >= least
+        return F.struct(
+            F.when(gone == new, acc["counts"]).otherwise(counts).alias("counts"),
+            total.alias("total"),
+            F.when(hot & acc["first"].isNull(), i).otherwise(acc["first"]).alias("first"),
+            F.when(hot, i).otherwise(acc["last"]).alias("last"),
+        )
+
+    def from_counts(counts):
+        total = F.aggregate(counts, F.lit(0.0), lambda s, n: s + _log_term(n))
+        return _bound(total, lambda t: from_total(counts, t))
+
+    def from_total(counts, total):
+        at0 = F.when(entropy(total) >= least, F.lit(0))
+        start = F.struct(counts.alias("counts"), total.alias("total"), at0.alias("first"), at0.alias("last"))
+        return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
     steps = F.when(F.size(codes) > window, F.sequence(F.lit(1), F.size(codes) - window)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    first = F.aggregate(
+        F.slice(codes, 1, window),
+        F.array_repeat(F.lit(0), 128),
+        lambda counts, code: F.transform(counts, lambda n, i: n + (i == code).cast("int")),
+    )
+    return _bound(first, from_counts)
 
 
 def _class(body: Column) -> Column:
@@ -114,9 +123,8 @@ def _entropy_spans(text: Column, thresholds: dict[str, float], allowed: Sequence
         for word in allowed:
             clean = clean & ~F.contains(F.lower(m["body"]), F.lit(word))
         hot = F.when(kind.isNotNull() & clean, hot_windows(m["body"], F.element_at(least, kind), window))
-        return F.struct(
-            (m["at"] + hot["first"]).alias("at"), F.lit(3).alias("kind"), (m["at"] + hot["last"] + window).alias("end")
-        )
+        span = lambda h: F.struct((m["at"] + h["first"]).alias("at"), F.lit(3).alias("kind"), (m["at"] + h["last"] + window).alias("end"))
+        return _bound(hot, span)
 
     return F.filter(F.transform(_located(text, CANDIDATE), judged), lambda s: s["at"].isNotNull())
 
