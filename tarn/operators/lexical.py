@@ -14,10 +14,12 @@ K1, B = 1.2, 0.75
 TERM_BUCKETS = 256
 
 
-def build_postings(docs: DataFrame) -> DataFrame:
-    """docs (oid, text) -> term, oid, tf, doc_len, term_bucket; tf is summed before the shuffle."""
+def build_postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """docs (oid, text) -> term, oid, tf, doc_len, term_bucket; tf is summed before the shuffle. With terms, only theirs: other
+    tokens are dropped inside the row, before they would become rows."""
     rows = docs.select("oid", tokens("text").alias("t"))
-    rows = rows.select("oid", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    kept = F.col("t") if terms is None else F.filter("t", lambda t: t.isin(list(terms)))
+    rows = rows.select("oid", F.size("t").alias("doc_len"), F.explode(kept).alias("term"))
     rows = rows.groupBy("oid", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
     return rows.select("term", "oid", "tf", "doc_len", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("term_bucket"))
 
@@ -34,16 +36,19 @@ def build_symbols(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LexicalPlane:
-    """Tables of the plane. Terms are looked up by bucket, so a table written by partition reads only theirs."""
+    """Tables of the plane. Terms are looked up by bucket, so a table written by partition reads only theirs.
+
+    A plane that is built but not written keeps its documents (`docs`) and analyses them for a query's terms alone."""
 
     postings: DataFrame
     lengths: DataFrame
     symbols: DataFrame | None = None
+    docs: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame) -> LexicalPlane:
         symbols = build_symbols(docs) if "symbols" in docs.columns else None
-        return cls(build_postings(docs), build_lengths(docs), symbols)
+        return cls(build_postings(docs), build_lengths(docs), symbols, docs.select("oid", "text"))
 
     def refreshed(self, plan: DataFrame, docs: DataFrame) -> LexicalPlane:
         """The plane after a batch: oids of plan (oid, action) lose their rows, and those with action refresh get them anew
@@ -67,6 +72,8 @@ class LexicalPlane:
         return cls(*tables, spark.read.parquet(f"{path}/symbols") if symbols else None)
 
     def of_terms(self, terms: Sequence[str]) -> DataFrame:
+        if self.docs is not None:
+            return build_postings(self.docs, terms)
         column = self.postings["term"]
         if "term_bucket" in self.postings.columns:
             spark = self.postings.sparkSession

@@ -214,7 +214,7 @@ def bm25_scoped(spark, sf_dir):
     return engine(spark, sf_dir).search_text("that", 10, Scope.of("/corpus/src1")).select("oid", "score")
 
 
-@query("postings", f"WITH {_CAT}, {_TOK} SELECT term, count(*) AS df, sum(tf) AS cf FROM (SELECT oid, term, count(*) AS tf FROM tok GROUP BY oid, term) GROUP BY term")
+@query("postings", f"WITH {_CAT}, {_TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT oid, term, count(*) AS tf FROM tok GROUP BY oid, term) GROUP BY term")
 def postings(spark, sf_dir):
     plane = LexicalPlane.build(td.corpus(spark, sf_dir).select("oid", "text"))
     return plane.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
