@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: dict[str, SparkSession] = {}
+#: What is to be deleted: path -> session, and the name under which a bucketed table is in the session's catalog.
+_written: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +27,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written[path] = spark
+    _written[path] = spark, None
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
     return out
@@ -40,7 +41,7 @@ def cut_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tarn_{name.replace('-', '_')}_{run}"
     df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
-    _written[path] = spark
+    _written[path] = spark, table
     out = spark.table(table)
     out._tarn_path = path
     return out
@@ -49,20 +50,26 @@ def cut_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes a table that cut() wrote, once nothing reads it any more."""
     path = getattr(df, "_tarn_path", None)
-    if path and (spark := _written.pop(path, None)) is not None:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _written:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark, table = _written.pop(path)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
-def _drop_all() -> None:
-    for path, spark in list(_written.items()):
+def drop_all() -> None:
+    """Deletes every table that cut() wrote and drop() didn't; also runs when the driver ends."""
+    for path in list(_written):
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path)
         except Exception:  # the JVM may have ended first; the shared folder's owner then cleans up
-            return
+            continue
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -171,12 +171,12 @@ def test_quality(spark):
     got = quality.quality_scores(table(spark, rows), model).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     score = {r["doc_id"]: r["score"] for r in got}
-    held = [i for i in range(400) if spark is not None and score[i] is not None]
-    assert sum((score[i] >= 0.7) == (i % 3 > 0) for i in held) >= 0.98 * len(held)
+    assert sum((score[i] >= 0.7) == (i % 3 > 0) for i in range(400)) >= 392
+    assert score[1000] == score[1001] == model.prior
     kept = quality.keep_documents(table(spark, rows), labels)
     assert kept.columns == ["doc_id", "text", "extra"] and {r["doc_id"] for r in kept.collect()} >= {1, 2, 4}
     again = quality.train(table(spark, rows, 5), labels)
-    assert (again.good, again.bad, again.slope) == (model.good, model.bad, model.slope)
+    assert (again.good, again.bad, again.weights) == (model.good, model.bad, model.weights)
 
 
 def test_classifiers_without_two_classes():
@@ -267,6 +267,6 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r["doc_id"] for r in out}
     assert len(ids) == len(out) and not ids & set(range(400, 404)) and not ids & set(range(500, 560))
     assert ids >= set(range(200, 210)) and not ids & set(range(10)) and ids >= set(range(60, 120))
-    near = [i for i in range(5) if simhash.fingerprint(rows[50 + i][1]) ^ simhash.fingerprint(rows[50 + i][1] + " Extra.")]
-    assert all((50 + i in ids) for i in range(5)) and len(near) <= 5
-    assert sum(r["taken"] for r in out) <= 2 * sum(r["size"] for r in out) and [n for n, _ in corpus_pipeline.STAGES][0].startswith("quality")
+    alike = lambda i: (simhash.fingerprint(rows[50 + i][1]) ^ simhash.fingerprint(rows[50 + i][1] + " Extra.")).bit_count() <= 2
+    assert all(50 + i in ids and (300 + i in ids) != alike(i) for i in range(5))
+    assert sum(r["taken"] for r in out) <= 2 * sum(r["size"] for r in out) and len(corpus_pipeline.STAGES) == 5
