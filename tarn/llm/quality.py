@@ -21,19 +21,22 @@ MAX_BYTES = 48 << 20
 BLOCK = 1024
 DICTIONARY_BYTES = 65536
 LEVEL = 3
+#: Bytes at which a text's difference counts half: short texts differ by chance.
+HALF_BYTES = 256
 THRESHOLD = 0.7
 HELD_OUT = (4, 2)
 
 
 @dataclass
 class CompressionModel:
-    """score = logistic(slope * difference + intercept); difference: bytes that the bad dictionary needs beyond the good
-    one, per byte of text. A text is compressed in blocks, all of them, so that long texts don't outgrow a dictionary."""
+    """score = logistic(weights . (w * difference, w, 1)), w = bytes / (bytes + HALF_BYTES); difference: bytes that the bad
+    dictionary needs beyond the good one, per byte of text. A text is compressed in blocks, all of them, so that long texts
+    don't outgrow a dictionary. The empty text scores the share of class 1."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float]
+    prior: float
 
     def __post_init__(self) -> None:
         self._by = None
@@ -41,21 +44,24 @@ class CompressionModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_by": None}
 
-    def difference(self, text: str) -> float:
+    def features(self, text: str) -> tuple[float, float, float]:
         if self._by is None:
             self._by = [_compressor(x) for x in (self.good, self.bad)] if self.good and self.bad else []
         raw = text.encode("utf-8", "surrogatepass")
         if not raw or not self._by:
-            return 0.0
+            return 0.0, 0.0, 1.0
         good, bad = self._by
         gain = 0
         for at in range(0, len(raw), BLOCK):
             block = raw[at : at + BLOCK]
             gain += len(bad.compress(block)) - len(good.compress(block))
-        return gain / len(raw)
+        w = len(raw) / (len(raw) + HALF_BYTES)
+        return w * gain / len(raw), w, 1.0
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.difference(text or "") + self.intercept
+        if not text:
+            return self.prior
+        z = sum(a * b for a, b in zip(self.weights, self.features(text)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -82,39 +88,39 @@ def fit(sample: Sample, seed: int = 42) -> CompressionModel:
     true shares. With one class only, or no text, all texts score the share of class 1 (0.5 without labels)."""
     total = sum(sample.totals)
     prior = (sample.totals[1] + 0.5) / (total + 1) if total else 0.5
-    flat = CompressionModel(b"", b"", 0.0, math.log(prior / (1 - prior)))
+    flat = CompressionModel(b"", b"", (0.0, 0.0, math.log(prior / (1 - prior))), prior)
     by_class = [[t for t, y in zip(sample.texts, sample.labels) if y == c and t] for c in (0, 1)]
     if min(map(len, by_class)) < 2:
         return flat
     bad, good = (_dictionary(texts[::2], seed) for texts in by_class)
-    model = CompressionModel(good, bad, 0.0, 0.0)
+    model = CompressionModel(good, bad, (0.0, 0.0, 0.0), prior)
     rest = [texts[1::2] for texts in by_class]
-    x = np.array([model.difference(t) for texts in rest for t in texts])
+    x = np.array([model.features(t) for texts in rest for t in texts])
     y = np.array([c for c, texts in enumerate(rest) for _ in texts], dtype=float)
     w = np.array([sample.totals[c] / len(texts) for c, texts in enumerate(rest) for _ in texts])
-    model.slope, model.intercept = _logistic(x, y, w / w.mean())
+    model.weights = _logistic(x, y, w / w.mean())
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    scale = float(np.abs(x).max()) or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-design @ beta))
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, ...]:
+    scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
+    design = x / scale
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -40, 40)))
         grad = design.T @ (w * (p - y)) + 1e-3 * beta
-        hess = (design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        hess = (design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(hess, grad)
         beta -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return tuple(float(b) for b in beta / scale)
 
 
 def quality_scores(docs: DataFrame, model: CompressionModel) -> DataFrame:
     """docs (doc_id, text) -> doc_id, score; one row per input row.
 
-    Null text counts as empty; the empty text has difference 0. Whole texts are compressed whatever their length.
+    Null text counts as empty. Whole texts are compressed whatever their length.
     Repeated rows score alike.
     """
 
