@@ -19,7 +19,7 @@ LEAST_LITERALS = 4
 LEAST_SHARE = 0.5
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes several.
 BLOCK_BYTES = 16 << 20
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs hour hours day days week weeks month months year years "
     "minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet "
