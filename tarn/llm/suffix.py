@@ -481,7 +481,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     kept may start or end inside a character and is therefore binary (null unless with_kept).
     """
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
     packs = docs.select("doc_id", "text").mapInArrow(_pack, "pack long, ids binary, sizes binary, body binary")
     packs = cut_bucketed(packs, "packs", "pack")
     anchors = packs.mapInArrow(_anchor_rows(buckets), "bucket long, pack long, anchors binary")
