@@ -22,7 +22,7 @@ MAX_BYTES = 48 << 20
 #: Features that the model may use, those that set the classes apart best.
 FEATURES = 2000
 LEAST_DOCS = 3
-ROUNDS = 300
+ROUNDS = 600
 THRESHOLD = 0.5
 HELD_OUT = (5, 0)
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -109,7 +109,7 @@ def fit(sample: Sample) -> SentenceModel:
         stay = np.exp(-np.bincount(document, np.logaddexp(0, z), n))
         slope = weight * np.where(y == 1, stay / np.maximum(1 - stay, 1e-9), -1.0)
         pull = slope[document] * -(1 / (1 + np.exp(-z)))
-        grad = np.append(np.bincount(feature, pull[sentence], len(place)) / n + 1e-4 * beta[:-1], pull.sum() / n)
+        grad = np.append(np.bincount(feature, pull[sentence], len(place)) / n + 1e-5 * beta[:-1], pull.sum() / n)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad * grad
         beta -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
     weights = {f: float(beta[i]) for f, i in place.items() if abs(beta[i]) > 0.02}
