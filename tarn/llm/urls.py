@@ -33,13 +33,16 @@ def path_of(url: Column | str) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def bare_host(url: Column | str) -> Column:
+    """host_of() without one leading www. or m."""
+    return F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
+
+
 def canonical_url(url: Column | str) -> Column:
     """host without www./m., path without trailing slashes, query without tracking keys; no scheme, no fragment."""
     query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), TRACKING, "")
     query = F.regexp_replace(F.regexp_replace(query, "&+", "&"), "^&|&$", "")
-    base = F.concat(
-        F.regexp_replace(host_of(url), r"^(?:www|m)\.", ""), F.regexp_replace(path_of(url), "/+$", "")
-    )
+    base = F.concat(bare_host(url), F.regexp_replace(path_of(url), "/+$", ""))
     return F.coalesce(F.when(query != "", F.concat(base, F.lit("?"), query)).otherwise(base), F.lit(""))
 
 
@@ -99,8 +102,12 @@ SELECT page_id, host, path, rule,
 """
 
 
+def spam_farm_urls(pages: DataFrame) -> DataFrame:
+    """The rows of pages (url) on spam-farm hosts, with www. or m. before them or not."""
+    return pages.where(F.startswith(bare_host("url"), F.lit("spam-farm.")))
+
+
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
-    """The list is that of all urls of spam-farm hosts, in any of their forms."""
+    """The list is that of all urls of spam-farm hosts, in any of their forms. SQL lists hosts without www./m. only."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.where(F.startswith(host_of("url"), F.lit("spam-farm.")))
-    return filter_urls(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, spam_farm_urls(pages)).select("page_id", "host", "path", "rule", "verdict")

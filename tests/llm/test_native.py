@@ -114,6 +114,14 @@ def test_urls(spark):
     assert sorted(r["host"] for r in got[1]) == ["a.example.com", "h"]
 
 
+def test_spam_farms_in_all_forms(spark, tmp_path):
+    hosts = ["spam-farm.example.org", "www.spam-farm.example.com", "M.Spam-Farm.example.com", "spam-farmers.example.com", "www.other.com", "notspam-farm.a.com"]
+    rows = [(k, f"http://{h}/fr/{k}?utm_source=feed") for k, h in enumerate(hosts)] + [(9, None), (10, "http://www.spam-farm.example.net/de/1")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in urls.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 9: "allow", 10: "allow"}
+
+
 def test_bloom_passes_every_key(spark):
     from tarn.llm.bloom import bloom_filter, possible_hits
 
