@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import connected_components, cut
@@ -52,6 +52,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed)], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints)], ["doc_id", "key", "fp"])
+
+
 class BKTree:
     """Fingerprints under their Hamming distance; a node's children are keyed by their distance to it."""
 
@@ -187,12 +193,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tree_limit: int = TRE
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _row_key() -> Column:
+    """Tells rows apart by doc_id and text; null and empty texts are alike."""
+    return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+
+
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; docs' columns."""
-    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """One document of each group, that with the smallest doc_id (null last); docs' columns.
+
+    Groups are those of fingerprints, so rows without doc_id belong to one like any other, and rows that share a doc_id but
+    have unlike texts are in different ones. Of rows with equal doc_id and text one stays.
+    """
+    keyed = docs.select("doc_id", "text", _row_key().alias("key"))
+    prints = cut(keyed.mapInArrow(_keyed_fingerprints, "doc_id long, key string, fp long"), "prints")
+    groups = cut(prints.select("fp").distinct().withColumn("rep", F.col("fp")), "print-groups")
+    found = connected_components(fingerprint_links(groups))
+    rows = prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(found, F.col("fp") == F.col("node"), "left")
+    rows = rows.withColumn("component", F.coalesce("component", "fp"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")
+    stay = cut(rows.groupBy("component").agg(F.min(order).alias("s")).select("s.key", "s.n"), "stay")
+    kept = docs.withColumn("_key", _row_key()).join(stay.select(F.col("key").alias("_key")), "_key", "left_semi")
+    kept = kept.dropDuplicates(["_key"]) if stay.where("n > 1").limit(1).count() else kept
+    return kept.select(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -70,6 +70,17 @@ def test_near_duplicates(spark, limit):
     assert kept == sorted(set(want.values()))
 
 
+def test_documents_without_or_with_repeated_ids_stay(spark):
+    rng = random.Random(9)
+    one, two, three, four, five = (" ".join(f"w{rng.randrange(500)}" for _ in range(120)) for _ in range(5))
+    rows = [(1, one), (None, one), (None, two), (None, two), (None, three), (2, four), (2, five), (2, five), (3, four)]
+    kept = simhash.keep_documents(table(spark, rows))
+    assert kept.columns == ["doc_id", "text", "extra"]
+    want = [(1, one), (None, two), (None, three), (2, four), (2, five)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert simhash.keep_documents(table(spark, [])).count() == 0
+
+
 def test_trees_find_all_within_the_radius():
     rng = random.Random(2)
     values = [rng.getrandbits(12) for _ in range(300)]
