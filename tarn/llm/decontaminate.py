@@ -6,6 +6,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ WINDOW = 8
 LEAST_LITERALS = 4
 #: Share of an item's template that a document must hold, in windows that agree on their slots.
 LEAST_SHARE = 0.5
+#: Words in a row that are a hit verbatim, whatever share of a longer item they are.
+LONG_RUN = 50
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes several.
 BLOCK_BYTES = 16 << 20
 MEMO_WORDS = 200_000
@@ -28,12 +31,13 @@ UNITS = frozenset(
 )
 _TOKEN = re.compile(r"[.!?\n]|\d+(?:[.,]\d+)*|[^\W\d_]+")
 _BREAK, _NUMBER, _NAME, _UNIT, _FIRST = -1, 1, 2, 3, 4
-_CAPITAL, _MEASURE = 1 << 40, 1 << 41
+_CAPITAL, _MEASURE, _DIGITS = 1 << 40, 1 << 41, 1 << 42
 _MASK = (1 << 40) - 1
 
 
 class Codes(dict):
-    """token -> code: known literals from _FIRST on, other words 0; flags for a capital and for a word that may be a unit."""
+    """token -> code: known words and numbers from _FIRST on, others 0; flags for a capital, for a word that may be a unit and
+    for a number."""
 
     def __init__(self, vocabulary: dict[str, int], grow: bool = False) -> None:
         self.vocabulary, self.grow = vocabulary, grow
@@ -41,43 +45,58 @@ class Codes(dict):
     def __missing__(self, token: str) -> int:
         if token[0] in ".!?\n":
             code = _BREAK
-        elif token[0].isdigit() or token[0].isdecimal():
-            code = _NUMBER
         else:
             low = token.lower()
             if self.grow:
                 self.vocabulary.setdefault(low, len(self.vocabulary) + _FIRST)
             code = self.vocabulary.get(low, 0)
-            code |= (_CAPITAL if token[0].isupper() else 0) | (_MEASURE if low in UNITS else 0)
+            if token[0].isdigit() or token[0].isdecimal():
+                code |= _DIGITS
+            else:
+                code |= (_CAPITAL if token[0].isupper() else 0) | (_MEASURE if low in UNITS else 0)
         if len(self) < MEMO_WORDS:
             self[token] = code
         return code
 
 
-def template(text: str, codes: Codes) -> tuple[np.ndarray, list[str]]:
-    """(codes, surfaces) of a text's tokens: numbers, capitalised words inside a sentence, and units after a number are
-    placeholders; other words are themselves, lower-cased. Punctuation and line ends only end sentences."""
+def template(text: str, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(strict, loose, surface, places, tokens): codes of a text's words, and where in its tokens they are. In strict, numbers,
+    capitalised words inside a sentence, and units after a number are placeholders; other words are themselves, lower-cased.
+    In loose, capitalised words that start a sentence are names too. In surface nothing is a placeholder. Punctuation and line
+    ends only end sentences."""
     tokens = _TOKEN.findall(text)
     raw = np.fromiter((codes[t] for t in tokens), np.int64, len(tokens))
     stops = raw == _BREAK
     starts = np.concatenate([[True], stops[:-1]])
-    after_number = np.concatenate([[False], raw[:-1] == _NUMBER])
-    out = np.where(raw > 0, raw & _MASK, raw)
-    out[(raw > 0) & (raw & _CAPITAL != 0) & ~starts] = _NAME
-    out[(raw > 0) & (raw & _MEASURE != 0) & after_number] = _UNIT
+    number = ~stops & (raw & _DIGITS != 0)
+    after_number = np.concatenate([[False], number[:-1]])
+    surface = np.where(raw > 0, raw & _MASK, raw)
+    strict = np.where(number, _NUMBER, surface)
+    capital, unit = ~stops & (raw & _CAPITAL != 0), ~stops & (raw & _MEASURE != 0) & after_number
+    strict[capital & ~starts] = _NAME
+    strict[unit] = _UNIT
+    loose = strict.copy()
+    loose[capital & starts & ~unit] = _NAME
     keep = np.flatnonzero(~stops)
-    return out[keep], keep, tokens
+    return strict[keep], loose[keep], surface[keep], keep, tokens
 
 
-def window_hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows without unknown words and with enough literals."""
+def _holds(marked: np.ndarray, width: int) -> np.ndarray:
+    """For each window, whether it holds a marked word."""
+    n = np.concatenate([[0], np.cumsum(marked)])
+    return n[width:] > n[:-width]
+
+
+def window_hashes(codes: np.ndarray, width: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows without unknown words and with enough literals, of those marked in where if given."""
     n = len(codes) - width + 1
     if n <= 0:
         return np.array([], np.int64), np.array([], np.uint64)
     bad = np.concatenate([[0], np.cumsum(codes == 0)])
     literal = np.concatenate([[0], np.cumsum(codes >= _FIRST)])
     least = min(LEAST_LITERALS, max(1, width // 2))
-    good = np.flatnonzero((bad[width:] == bad[:-width]) & (literal[width:] - literal[:-width] >= least))
+    good = (bad[width:] == bad[:-width]) & (literal[width:] - literal[:-width] >= least)
+    good = np.flatnonzero(good if where is None else good & where)
     if not len(good):
         return good, np.array([], np.uint64)
     h = np.zeros(len(good), np.uint64)
@@ -88,23 +107,25 @@ def window_hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 class Benchmark:
-    """Template windows of a block of items, as a hash table: hash -> (item, place) pairs."""
+    """Windows of a block of items, as a hash table: hash -> (item, place, form) triples, form 0 for strict templates, 1 for
+    loose ones and 2 for surfaces where those differ from the strict template."""
 
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         codes = Codes(self.vocabulary, grow=True)
         self.items, self.ids = [], []
-        self.table: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.table: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            tpl, keep, tokens = template(text or "", codes)
-            if not len(tpl):
+            *forms, keep, tokens = template(text or "", codes)
+            if not len(keep):
                 continue
             k = len(self.items)
-            self.items.append((tpl, [tokens[i].lower() for i in keep]))
+            self.items.append((forms, [tokens[i].lower() for i in keep]))
             self.ids.append(item_id)
-            width = min(WINDOW, len(tpl))
-            for at, h in zip(*window_hashes(tpl, width)):
-                self.table[width][int(h)].append((k, int(at)))
+            width = min(WINDOW, len(keep))
+            for form, tpl in enumerate(forms):
+                for at, h in zip(*window_hashes(tpl, width, _holds(tpl != forms[0], width) if form else None)):
+                    self.table[width][int(h)].append((k, int(at), form))
         self.table = {w: dict(t) for w, t in self.table.items()}
         self.sorted = {w: np.sort(np.fromiter(t, np.uint64, len(t))) for w, t in self.table.items()}
         self.codes = Codes(self.vocabulary)
@@ -116,30 +137,44 @@ class Benchmark:
         """(item_id, share of its template found, whether a slot's filling differs) of the items that text contains."""
         if self.codes is None:
             self.codes = Codes(self.vocabulary)
-        tpl, keep, tokens = template(text or "", self.codes)
+        *forms, keep, tokens = template(text or "", self.codes)
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for width, known in self.sorted.items():
-            starts, hashes = window_hashes(tpl, width)
+        for (width, known), tpl in product(self.sorted.items(), forms):
+            if len(tpl) < width:
+                continue
+            starts, hashes = window_hashes(tpl, width, None if tpl is forms[0] else _holds(tpl != forms[0], width))
             if not len(starts):
                 continue
             at = np.searchsorted(known, hashes)
             hit = known[np.minimum(at, len(known) - 1)] == hashes
             for start, h in zip(starts[hit].tolist(), hashes[hit].tolist()):
-                for item, place in self.table[width][h]:
-                    if np.array_equal(tpl[start : start + width], self.items[item][0][place : place + width]):
+                for item, place, form in self.table[width][h]:
+                    if np.array_equal(tpl[start : start + width], self.items[item][0][form][place : place + width]):
                         found[item] |= {(place + i, start + i) for i in range(width)}
         out = []
         for item, pairs in found.items():
             share, changed = self._consistent(item, pairs, keep, tokens)
             if share >= LEAST_SHARE:
                 out.append((self.ids[item], share, changed))
+            elif self._verbatim(item, pairs, keep, tokens) >= LONG_RUN:
+                out.append((self.ids[item], share, False))
         return sorted(out)
 
+    def _verbatim(self, item: int, pairs: set[tuple[int, int]], keep: np.ndarray, tokens: list[str]) -> int:
+        """Words of the longest run that the item and the text have in common, within the windows found."""
+        surface = self.items[item][1]
+        same = {(place, at) for place, at in pairs if tokens[keep[at]].lower() == surface[place]}
+        longest, runs = 0, {}
+        for place, at in sorted(same):
+            runs[place, at] = runs.get((place - 1, at - 1), 0) + 1
+            longest = max(longest, runs[place, at])
+        return longest
+
     def _consistent(self, item: int, pairs: set[tuple[int, int]], keep: np.ndarray, tokens: list[str]) -> tuple[float, bool]:
         """Share of the item in one occurrence whose slots are filled consistently: equal fillings in the item have equal
         fillings in the text, different ones different. Occurrences are told apart by their offset, give or take a few
         inserted or dropped words."""
-        tpl, surface = self.items[item]
+        (_, tpl, _), surface = self.items[item]
         by_offset: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for place, at in sorted(pairs):
             by_offset[at - place].append((place, at))
@@ -181,7 +216,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     `changed` marks items with other numbers, names or units than the benchmark's. A window is hashed after its
     words are coded by the benchmark's vocabulary; it is looked up in the hash table of the benchmark's windows, which
     goes to the tasks in blocks of at most about BLOCK_BYTES of text, one pass over the documents for all of them. Hits are
-    compared word by word. Documents are neither shuffled nor cut. Items shorter than a window must occur whole; items
+    compared word by word. Windows are also looked up as they stand, as those with too few literals, such as formulas, have no
+    template; a run of LONG_RUN words in common is a hit whatever its share. Documents are neither shuffled nor cut. Items shorter than a window must occur whole; items
     without words, and null or empty texts, match nothing. Repeated rows are each judged. A column `items` is replaced.
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("changed", pa.bool_())]))

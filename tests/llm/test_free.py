@@ -260,6 +260,27 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.find_items(docs, bench.limit(0)).where(F.size("items") > 0).count() == 0
 
 
+def test_decontamination_of_dense_items_names_at_starts_and_long_runs():
+    rng = random.Random(10)
+    long_item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(240)]
+    items = [
+        (1, "Compute 12 + 30 * 4 - 7 + 9 + 15 - 2 + 88."),
+        (2, "Alice has 12 apples. Bob has 5 pears. Carol eats 3 of them. Dana buys 7 more. Who has most?"),
+        (3, " ".join(long_item)), (4, "1 2 3"),
+    ]
+    model = decontaminate.Benchmark(items)
+    found = lambda text: {(i, changed) for i, _, changed in model.matches(text)}
+    assert found("So: compute 12 + 30 * 4 - 7 + 9 + 15 - 2 + 88. Done") == {(1, False)}
+    assert found("So: compute 13 + 31 * 5 - 8 + 10 + 16 - 3 + 89. Done") == set()
+    names = "Erin has 12 apples. Frank has 6 pears. Grace eats 3 of them. Heidi buys 7 more. Who has most?"
+    assert found("Read. " + names) == {(2, True)} and found(items[1][1].upper()) == {(2, False)} and found(items[1][1]) == {(2, False)}
+    run = long_item[60:120]
+    assert found("a b c " + " ".join(run) + " d e f") == {(3, False)}
+    assert found(" ".join(run[:45]) + " d e f") == set()
+    rng.shuffle(run)
+    assert found(" ".join(run)) == set() and found("the 1 2 3 count") == {(4, False)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
