@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -241,6 +242,16 @@ def test_lines(spark, monkeypatch, limit):
     assert one == "\nb"
 
 
+def test_lines_with_changed_words_link_when_wide(spark):
+    rng = random.Random(11)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n)) for n in (3, 8, 12, 20, 40, 60)]
+    near = [b[:-1] + "x" for b in base] + [" ".join(w if i != 4 else "other" for i, w in enumerate(b.split())) for b in base[2:]]
+    docs = spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near)), (3, "quite another line of words that nothing is like")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs, wide=True).collect()}
+    assert got == {1: len(base), 2: 0, 3: 1}
+    assert {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs).collect()}[2] > 0
+
+
 def test_line_fingerprints_of_all_widths(spark):
     bodies = ["one", "a b", " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(5000)), " ".join(f"w{i}" for i in range(20_000))]
     frame = spark.createDataFrame(list(enumerate(bodies)), "line_id long, body string")
