@@ -177,8 +177,18 @@ def _assign(text):
     return [(m.start(), m.end()) for m in re.finditer(pattern, text) if len(m[2]) >= 6]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 def line_model(docs):
-    """Kept places by comparing all lines with each other."""
+    """Kept places by counting the character edits of all lines against each other."""
     norm = lambda x: re.sub(r"[ \t\x0b\f\r]+", " ", x.lower()).strip(" ")
     seen = {}
     for i, t in sorted(docs):
@@ -186,21 +196,7 @@ def line_model(docs):
             if norm(line):
                 seen.setdefault(norm(line), (i, p))
     body = list(seen)
-
-    def fp(b):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(b.split(" "))]
-        return sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > len(h))
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    prints, root = [fp(b) for b in body], list(range(len(body)))
+    root = list(range(len(body)))
 
     def top(i):
         while root[i] != i:
@@ -209,14 +205,10 @@ def line_model(docs):
 
     for i in range(len(body)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2 and top(i) != top(j):
-                a, b = body[i], body[j]
-                if max(len(a), len(b)) > lines.BY_CHARACTER:
-                    a, b = ([xxhash.xxh64_intdigest(w.encode(), 42) for w in x.split(" ")] for x in (a, b))
-                    a, b = ([(h - (h >> 63 << 64)) % 20_000 for h in x] for x in (a, b))
-                longest = max(len(a), len(b))
-                if distance(a, b) <= math.floor(round(longest * 0.2, 6)):
-                    root[max(top(i), top(j))] = min(top(i), top(j))
+            longest = max(len(body[i]), len(body[j]))
+            most = math.floor(round(longest * 0.2, 6))
+            if abs(len(body[i]) - len(body[j])) <= most and top(i) != top(j) and edits(body[i], body[j]) <= most:
+                root[max(top(i), top(j))] = min(top(i), top(j))
     first = {}
     for i, b in enumerate(body):
         first[top(i)] = min(first.get(top(i), seen[b]), seen[b])
@@ -226,30 +218,49 @@ def line_model(docs):
     return {i: sorted(keep.get(i, [])) for i, _ in docs}
 
 
-@pytest.mark.parametrize("limit", [1, 64])
-def test_lines(spark, monkeypatch, limit):
-    monkeypatch.setattr(lines, "PAIR_LIMIT", limit)
-    base = [f"alpha{i} beta{i * 7} gamma{i % 5} delta epsilon zeta{i} eta theta{i * 3} iota kappa{i}" for i in range(12)]
-    near = [b.replace("eta theta", "eta  Theta") for b in base] + [b + "." for b in base[:6]] + [b[:-1] + "x" for b in base]
-    wide = [f"item{i} " + " ".join(f"word{i * 40 + j % 90}" for j in range(90)) for i in range(3)]
-    near += wide + [w.replace("word7 ", "other ") for w in wide] + [w + " tail" for w in wide]
+def test_lines(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    base = [" ".join(word() for _ in range(n)) for n in (3, 4, 6, 8, 10, 12, 15, 20, 25, 30, 40, 60) for _ in range(2)]
+    change = lambda b, k: " ".join(word() if i == k else w for i, w in enumerate(b.split(" ")))
+    near = [b.replace(" ", "  ").upper() for b in base[::3]] + [b + "." for b in base[::2]] + [b[:-1] + "x" for b in base]
+    near += [change(b, len(b.split(" ")) // 2) for b in base[6:]] + [change(change(b, 1), 9) for b in base[12:]]
+    wide = [" ".join(word() for _ in range(90)) for i in range(3)]
+    near += wide + [change(w, 7) for w in wide] + [w + " tail" for w in wide]
     docs = [(k, "\n".join((base + near)[k::5])) for k in range(5)] + [(7, None), (8, ""), (9, "\n \n\t"), (10, "| | | |\n| | x |"), (11, base[3] + "\n" + base[3]), (12, "w " * 700)]
-    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit(0))).collect()}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"kept": F.lit(0), "_id": F.lit("x"), "line_id": F.lit("y"), "fp": F.lit(1)})
     want = line_model(docs)
+    got = {r["doc_id"]: r for r in lines.dedup_lines(frame).collect()}
     assert {i: r["kept"] for i, r in got.items()} == want
     assert got[9]["n_lines"] == 3 and got[8]["n_lines"] == 0 and got[11]["n_lines"] == 2 and got[9]["n_kept"] == 0
+    assert {(r["_id"], r["line_id"], r["fp"]) for r in got.values()} == {("x", "y", 1)}
+    # with every key hot, lines are only compared with the smallest under finer keys: no wrong link, few lost
+    monkeypatch.setattr(lines, "PAIR_LIMIT", 1)
+    stars = {r["doc_id"]: r["kept"] for r in lines.dedup_lines(frame).collect()}
+    assert all(set(stars[i]) >= set(want[i]) for i in want)
+    assert sum(map(len, stars.values())) <= sum(map(len, want.values())) + 3
     one = spark.createDataFrame([("a\n\nb\nc",)], "text string").select(lines.apply_kept("text", F.array(F.lit(2)))).first()[0]
     assert one == "\nb"
 
 
-def test_lines_with_changed_words_link_when_wide(spark):
-    rng = random.Random(11)
-    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(n)) for n in (3, 8, 12, 20, 40, 60)]
-    near = [b[:-1] + "x" for b in base] + [" ".join(w if i != 4 else "other" for i, w in enumerate(b.split())) for b in base[2:]]
-    docs = spark.createDataFrame([(1, "\n".join(base)), (2, "\n".join(near)), (3, "quite another line of words that nothing is like")], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs, wide=True).collect()}
-    assert got == {1: len(base), 2: 0, 3: 1}
-    assert {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs).collect()}[2] > 0
+def test_a_family_of_permuted_lines_makes_pairs_in_proportion(spark):
+    rng = random.Random(13)
+    words, counts = "amber birch cedar delta ember fjord grove haven".split(), []
+    for n in (1250, 5000):
+        rows = sorted({" ".join(rng.sample(words, 8)) for _ in range(n)})
+        frame = spark.createDataFrame(list(enumerate(rows)), "line_id long, body string")
+        counts.append(lines.candidates(frame, lines.fingerprints(frame)).count() / len(rows))
+    assert counts[1] <= (lines.SKETCH + 6) * lines.PAIR_LIMIT / 2 and counts[1] <= 2.5 * counts[0]
+
+
+def test_edits_of_long_lines_are_counted_between_what_they_share(spark):
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcd ") for _ in range(700)).strip()
+    bodies = [long, long[:300] + "#" * 100 + long[300:], long[:300] + "#" * 200 + long[300:], long[:100] + long[250:], long[:100] + long[200:], long + long, "é" * 300, "é" * 250]
+    frame = spark.createDataFrame(list(enumerate(bodies)), "line_id long, body string")
+    pairs = [(i, j) for i in range(len(bodies)) for j in range(i + 1, len(bodies))]
+    got = {tuple(r) for r in lines.similar(spark.createDataFrame(pairs, "a long, b long"), frame).collect()}
+    assert got == {(i, j) for i, j in pairs if edits(bodies[i], bodies[j]) <= math.floor(round(max(len(bodies[i]), len(bodies[j])) * 0.2, 6))}
 
 
 def test_line_fingerprints_of_all_widths(spark):
