@@ -1,4 +1,8 @@
-"""SimHash near-duplicate groups: pigeonhole shards of fingerprints, a BK-tree for each shard."""
+"""SimHash near-duplicate groups: shards of fingerprints, a BK-tree for each shard.
+
+near_duplicates() links fingerprints at most two bits apart, exactly, in pigeonhole shards. keep_documents() links texts by the
+similarity of their five-word shingles, whose fingerprints are further apart: its shards are MinHash bands.
+"""
 
 from __future__ import annotations
 
@@ -11,40 +15,56 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.bloom import bloom_filter, possible_hits
 from tarn.llm.shared import connected_components, cut
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Fingerprints that one shard's tree may hold; larger shards are linked by half-way keys instead.
+#: Fingerprints that one shard's tree may hold; larger shards are split.
 TREE_LIMIT = 4096
+#: keep_documents(): texts link if the sets of their WIDE_SHINGLE-word shingles have a Jaccard similarity of WIDE_SIMILARITY.
+#: Candidates share one of BANDS bands of ROWS MinHashes, 99.7 % of pairs at 0.8, and differ in at most WIDE_RADIUS bits.
+WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 5, 0.8, 18
+BANDS, ROWS = 8, 3
+_MINHASH = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of byte values: _BITS[v, i] is bit i of v.
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of a text's 3-word shingles, unsigned; 0 for a text without words.
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    A-Z are lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text of fewer words is one shingle. A bit is 1
-    if it is set in over half of the shingles' XXH64 (seed 42), repeats included.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of width words, space-joined, repeats included; of all words if there are fewer."""
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
     ends = [end - 1 for end in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(end + 1 for end in ends)]
     digest = xxhash.xxh64_intdigest
-    n = len(words) - SHINGLE + 1
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :])), np.uint64, n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :])), np.uint64, len(words) - width + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without any."""
+    n = len(hashes)
     by_byte = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = [np.bincount(by_byte[:, j], minlength=256) @ _BITS for j in range(8)]
     bits = (np.concatenate(counts) * 2 > n).astype(np.uint8)
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash of a text's 3-word shingles, unsigned; 0 for a text without words.
+
+    A-Z are lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text of fewer words is one shingle. A bit is 1
+    if it is set in over half of the shingles' XXH64 (seed 42), repeats included.
+    """
+    return _majority(_shingle_hashes(_words(text), SHINGLE))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [fingerprint(t.as_py()) for t in batch.column("text")]
@@ -52,12 +72,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed)], ["doc_id", "fp"])
 
 
-def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t.as_py()) for t in batch.column("text")], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints)], ["doc_id", "key", "fp"])
-
-
 class BKTree:
     """Fingerprints under their Hamming distance; a node's children are keyed by their distance to it."""
 
@@ -139,10 +153,26 @@ def _linked(fps: np.ndarray, reps: np.ndarray, starts: np.ndarray, radius: int)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of radius + 1 blocks of the 64 bits."""
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
+def _masks(free: list[int], radius: int) -> list[tuple[int, list[int]]]:
+    """(mask of a block, bits that stay free) for radius + 1 blocks of the free bits."""
+    edges = [round(len(free) * i / (radius + 1)) for i in range(radius + 2)]
+    blocks = [free[lo:hi] for lo, hi in zip(edges, edges[1:])]
+    return [(sum(1 << b for b in block), [b for b in free if b not in block]) for block in blocks]
+
+
+def _bits(value: int) -> Column:
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
+def _split(shards: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Shards of at most limit fingerprints, and larger ones. Their sizes are counted on the map side first."""
+    large = shards.groupBy("block", "value").count().where(F.col("count") > limit).select("block", "value")
+    return shards.join(large, ["block", "value"], "left_anti"), shards.join(large, ["block", "value"], "left_semi")
+
+
+def _in_trees(shards: DataFrame, radius: int) -> DataFrame:
+    rows = shards.repartition("block", "value").sortWithinPartitions("block", "value", "fp")
+    return rows.select("block", "value", "fp", "rep").mapInArrow(_shard_links(radius), "a long, b long")
 
 
 def fingerprint_links(groups: DataFrame, radius: int = RADIUS, tree_limit: int = TREE_LIMIT) -> DataFrame:
@@ -150,26 +180,29 @@ def fingerprint_links(groups: DataFrame, radius: int = RADIUS, tree_limit: int =
 
     Two such fingerprints agree in one of radius + 1 blocks, so they meet in the shard of that block's value. A shard is
     dealt to one task, which streams it through a BK-tree and emits a spanning forest of its links, fewer rows than it
-    read. A shard of more than tree_limit fingerprints is not given to one task: for radius 2 its members emit themselves and each
-    form with one bit flipped outside the block; two are within 2 bits exactly if they share such a half-way key, so each
-    key's members link to its smallest. That is linear in the shard however alike its members are.
+    read. A shard of more than tree_limit fingerprints is split by its free bits in the same way: they are cut in radius + 1
+    blocks, one of which agrees too, so 35 bits of 64 agree in a shard's shard and trees do all the work for any corpus of
+    unrelated fingerprints. Where over tree_limit fingerprints still agree in all those, all very near each other, they meet
+    under half-way keys (radius 2 only): a fingerprint emits itself and each form with one more free bit flipped; two are within 2
+    bits exactly if they share one of these, so each key's members link to its smallest, in proportion to the members.
     """
-    rows = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND((1 << bits) - 1).alias("value"))
-        for k, (lo, bits) in enumerate(_blocks(radius))
-    ]
-    shards = groups.select("fp", "rep", F.explode(F.array(*rows)).alias("s")).select("s.block", "s.value", "fp", "rep")
-    large = shards.groupBy("block", "value").count().where(F.col("count") > tree_limit).select("block", "value")
-    small = shards.join(large, ["block", "value"], "left_anti").repartition("block", "value")
-    links = small.sortWithinPartitions("block", "value", "fp").mapInArrow(_shard_links(radius), "a long, b long")
+    first = _masks(list(range(64)), radius)
+    second = [(mask | more, free) for mask, rest in first for more, free in _masks(rest, radius)]
+    at = lambda k, mask: F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(_bits(mask)).alias("value"))
+    shards = groups.select("fp", "rep", F.explode(F.array(*[at(k, mask) for k, (mask, _) in enumerate(first)])).alias("s"))
+    small, large = _split(shards.select("s.block", "s.value", "fp", "rep"), tree_limit)
+    links = _in_trees(small, radius)
+    n = radius + 1
+    below = [F.array(*[at(k, second[k][0]) for k in range(i * n, i * n + n)]) for i in range(n)]
+    again = large.select("fp", "rep", F.explode(F.element_at(F.array(*below), F.col("block") + 1)).alias("s"))
+    small, large = _split(again.select("s.block", "s.value", "fp", "rep"), tree_limit)
+    links = links.unionByName(_in_trees(small, radius))
     if radius != 2:
-        raise ValueError("half-way keys need radius 2")
-    flips = [
-        F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64) if not lo <= i < lo + bits])
-        for lo, bits in _blocks(radius)
-    ]
-    hot = shards.join(large, ["block", "value"], "left_semi")
-    hot = hot.select("block", "value", "fp", "rep", F.explode(F.element_at(F.array(*flips), F.col("block") + 1)).alias("flip"))
+        if large.limit(1).count():
+            raise ValueError("shards over tree_limit need radius 2")
+        return links
+    flips = F.array(*[F.array(F.lit(0).cast("long"), *[_bits(1 << bit) for bit in free]) for _, free in second])
+    hot = large.select("block", "fp", "rep", F.explode(F.element_at(flips, F.col("block") + 1)).alias("flip"))
     keyed = hot.select("block", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "rep")
     least = keyed.groupBy("block", "key").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
     half_way = keyed.join(least, ["block", "key"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
@@ -198,22 +231,126 @@ def _row_key() -> Column:
     return F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
 
 
-def keep_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, that with the smallest doc_id (null last); docs' columns.
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node: XXH64 of a text's words. fp: SimHash of its distinct shingles. bands: keys of its MinHash bands. shingles: the
+    distinct shingles' hashes, 32 bits each, in order."""
+    for batch in batches:
+        nodes, prints, bands, sets = [], [], [], []
+        for text in batch.column("text"):
+            words = _words(text.as_py())
+            hashes = np.unique(_shingle_hashes(words, WIDE_SHINGLE))
+            least = np.zeros(BANDS * ROWS, np.uint64)
+            if len(hashes):
+                mixed = hashes ^ (hashes >> np.uint64(32))
+                least = np.array([(mixed * m).min() for m in _MINHASH])
+            nodes.append(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+            prints.append(_majority(hashes))
+            bands.append([xxhash.xxh64_intdigest(bytes([k]) + least[k * ROWS : (k + 1) * ROWS].tobytes(), SEED) for k in range(BANDS)])
+            sets.append(np.unique((hashes >> np.uint64(32)).astype(np.uint32)).tobytes())
+        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        keys = np.array(bands, np.uint64).view(np.int64).reshape(-1, BANDS)
+        cols = [batch.column("doc_id"), batch.column("key"), long(nodes), long(prints), pa.array(keys.tolist(), pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "node", "fp", "bands", "shingles"])
+
+
+def leaders(prints: list[int], radius: int) -> list[list[int]]:
+    """For each fingerprint, the places of the leaders at most radius bits away; one with none leads and has only itself."""
+    tree, places, out = BKTree(), [], []
+    for i, value in enumerate(prints):
+        near = [places[k] for k in tree.within(value, radius)]
+        if not near:
+            tree.add(value)
+            places.append(i)
+        out.append(near or [i])
+    return out
+
+
+def _leader_links(radius: int):
+    """Rows sorted by (band, part) -> band, fp, a, b: a row's node and each of its leaders' nodes; leaders have a = b."""
+
+    def linked(rows: list[np.ndarray]) -> pa.RecordBatch:
+        band, fp, node = rows
+        own, lead = [], []
+        for i, near in enumerate(leaders(fp.view(np.uint64).tolist(), radius)):
+            own += [i] * len(near)
+            lead += near
+        cols = [pa.array(band[own]), pa.array(fp[own]), pa.array(node[own]), pa.array(node[lead])]
+        return pa.RecordBatch.from_arrays(cols, ["band", "fp", "a", "b"])
 
-    Groups are those of fingerprints, so rows without doc_id belong to one like any other, and rows that share a doc_id but
-    have unlike texts are in different ones. Of rows with equal doc_id and text one stays.
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0
+        for batch in batches:
+            rows = [np.asarray(batch.column(c)) for c in ("band", "part", "fp", "node")]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            edges = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            for lo, hi in zip([0, *edges[:-1]], edges):
+                yield linked([held[k][lo:hi] for k in (0, 2, 3)])
+            held = [x[edges[-1] :] for x in held] if len(edges) else held
+        if held is not None and len(held[0]):
+            yield linked([held[k] for k in (0, 2, 3)])
+
+    return links
+
+
+def _led(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (band, part, fp, node) through leaders(). Each band has an order of its own, so other texts lead in it."""
+    rows = rows.repartition("band", "part").sortWithinPartitions("band", "part", F.xxhash64("band", "fp"), "node")
+    return rows.select("band", "part", "fp", "node").mapInArrow(_leader_links(radius), "band long, fp long, a long, b long")
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        alike = []
+        for x, y in zip(batch.column("x"), batch.column("y")):
+            x, y = (np.frombuffer(v.as_py(), np.uint32) for v in (x, y))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            alike.append(both >= WIDE_SIMILARITY * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+
+def shingle_links(sketches: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame:
+    """sketches (node, fp, bands, shingles) -> edges (a, b) of nodes whose shingle sets are similar.
+
+    A band's key is a shard. Its fingerprints go through a BK-tree that holds leaders: a text follows only edges within the
+    radius, is paired with each leader it finds, and leads itself where it finds none. So a family of copies costs a pair for
+    each of them. A shard of over part_rows rows is dealt to several tasks in parts; the parts' leaders then go through a tree of
+    the whole shard. Pairs are verified by the exact Jaccard similarity of all their shingles; a pair of texts that are both
+    near a leader but not similar to it can be missed in one band, and is found in the others, which have other leaders.
+    """
+    rows = sketches.select("node", "fp", F.explode("bands").alias("band")).distinct()
+    sizes = rows.groupBy("band").count().where(F.col("count") > part_rows)
+    rows = rows.join(sizes, "band", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / part_rows)), F.lit(0)).cast("long")
+    found = cut(_led(rows.withColumn("part", part), WIDE_RADIUS), "led")
+    heads = found.where("a = b").join(sizes, "band", "left_semi").select("band", F.lit(0).cast("long").alias("part"), "fp", F.col("a").alias("node"))
+    pairs = found.select("a", "b").unionByName(_led(heads, WIDE_RADIUS).select("a", "b")).where("a <> b")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes")
+    n = ids.count()
+    some = possible_hits(sketches.select("node", "shingles"), "node", bloom_filter(ids, "node", n), n).where("possible")
+    some = cut(some.join(ids, "node", "left_semi").select("node", "shingles").dropDuplicates(["node"]), "near-shingles")
+    x, y = (some.select(F.col("node").alias(a), F.col("shingles").alias(s)) for a, s in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
+
+
+def keep_documents(docs: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame:
+    """One document of each group of similar texts, that with the smallest doc_id (null last); docs' columns.
+
+    Groups are the components of shingle_links(). Texts with the same words are in one group; so are all texts without words.
+    Rows without doc_id belong to groups like any other, and rows that share a doc_id but have unlike texts are in different ones.
+    Of rows with equal doc_id and text one stays.
     """
+    key = "tarn row key"
     keyed = docs.select("doc_id", "text", _row_key().alias("key"))
-    prints = cut(keyed.mapInArrow(_keyed_fingerprints, "doc_id long, key string, fp long"), "prints")
-    groups = cut(prints.select("fp").distinct().withColumn("rep", F.col("fp")), "print-groups")
-    found = connected_components(fingerprint_links(groups))
-    rows = prints.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n")).join(found, F.col("fp") == F.col("node"), "left")
-    rows = rows.withColumn("component", F.coalesce("component", "fp"))
+    kind = "doc_id long, key string, node long, fp long, bands array<long>, shingles binary"
+    sketches = cut(keyed.mapInArrow(_sketches, kind), "sketches")
+    found = connected_components(shingle_links(sketches, part_rows)).withColumnRenamed("node", "n_node")
+    rows = sketches.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n")).join(found, F.col("node") == F.col("n_node"), "left")
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")
     stay = cut(rows.groupBy("component").agg(F.min(order).alias("s")).select("s.key", "s.n"), "stay")
-    kept = docs.withColumn("_key", _row_key()).join(stay.select(F.col("key").alias("_key")), "_key", "left_semi")
-    kept = kept.dropDuplicates(["_key"]) if stay.where("n > 1").limit(1).count() else kept
+    kept = docs.withColumn(key, _row_key()).join(stay.select(F.col("key").alias(key)), key, "left_semi")
+    kept = kept.dropDuplicates([key]) if stay.where("n > 1").limit(1).count() else kept
     return kept.select(*docs.columns)
 
 
