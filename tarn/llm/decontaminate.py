@@ -6,12 +6,16 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+from tarn.llm.shared import cut
 
 WINDOW = 8
 #: Words of a window that must not be placeholders.
@@ -20,8 +24,10 @@ LEAST_LITERALS = 4
 LEAST_SHARE = 0.5
 #: Words in a row that are a hit verbatim, whatever share of a longer item they are.
 LONG_RUN = 50
-#: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes several.
-BLOCK_BYTES = 16 << 20
+#: Bits for each benchmark window, and at most, of the bitmap that windows of documents pass before they are joined.
+BITS_PER_WINDOW, MOST_BITS = 32, 1 << 27
+#: Characters of documents whose windows are hashed together.
+CHUNK = 1 << 19
 MEMO_WORDS = 200_000
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg t lb oz ml l gal s sec min h hr hrs hour hours day days week weeks month months year years "
@@ -30,26 +36,25 @@ UNITS = frozenset(
     "percent degrees watt watts volt volts hz khz mhz ghz kb mb gb tb usd eur".split()
 )
 _TOKEN = re.compile(r"[.!?\n]|\d+(?:[.,]\d+)*|[^\W\d_]+")
-_BREAK, _NUMBER, _NAME, _UNIT, _FIRST = -1, 1, 2, 3, 4
+_BREAK, _NUMBER, _NAME, _UNIT, _FIRST = 0, 1, 2, 3, 4
 _CAPITAL, _MEASURE, _DIGITS = 1 << 40, 1 << 41, 1 << 42
 _MASK = (1 << 40) - 1
+_MUL = 0x9E3779B97F4A7C15
+#: Forms of a text, and what of it is a placeholder: numbers and units; names as well, unless they start a sentence; these too;
+#: nothing.
+FORMS = PLAIN, NAMED, LOOSE, SURFACE = range(4)
 
 
 class Codes(dict):
-    """token -> code: known words and numbers from _FIRST on, others 0; flags for a capital, for a word that may be a unit and
+    """token -> code: 40 bits of a word's or number's hash, lower-cased; flags for a capital, for a word that may be a unit and
     for a number."""
 
-    def __init__(self, vocabulary: dict[str, int], grow: bool = False) -> None:
-        self.vocabulary, self.grow = vocabulary, grow
-
     def __missing__(self, token: str) -> int:
         if token[0] in ".!?\n":
             code = _BREAK
         else:
             low = token.lower()
-            if self.grow:
-                self.vocabulary.setdefault(low, len(self.vocabulary) + _FIRST)
-            code = self.vocabulary.get(low, 0)
+            code = max(_FIRST, xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & _MASK)
             if token[0].isdigit() or token[0].isdecimal():
                 code |= _DIGITS
             else:
@@ -59,98 +64,107 @@ class Codes(dict):
         return code
 
 
-def template(text: str, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(strict, loose, surface, places, tokens): codes of a text's words, and where in its tokens they are. In strict, numbers,
-    capitalised words inside a sentence, and units after a number are placeholders; other words are themselves, lower-cased.
-    In loose, capitalised words that start a sentence are names too. In surface nothing is a placeholder. Punctuation and line
-    ends only end sentences."""
-    tokens = _TOKEN.findall(text)
-    raw = np.fromiter((codes[t] for t in tokens), np.int64, len(tokens))
-    stops = raw == _BREAK
-    starts = np.concatenate([[True], stops[:-1]])
-    number = ~stops & (raw & _DIGITS != 0)
-    after_number = np.concatenate([[False], number[:-1]])
-    surface = np.where(raw > 0, raw & _MASK, raw)
-    strict = np.where(number, _NUMBER, surface)
-    capital, unit = ~stops & (raw & _CAPITAL != 0), ~stops & (raw & _MEASURE != 0) & after_number
-    strict[capital & ~starts] = _NAME
-    strict[unit] = _UNIT
-    loose = strict.copy()
-    loose[capital & starts & ~unit] = _NAME
-    keep = np.flatnonzero(~stops)
-    return strict[keep], loose[keep], surface[keep], keep, tokens
+_codes = Codes()
 
 
-def _holds(marked: np.ndarray, width: int) -> np.ndarray:
-    """For each window, whether it holds a marked word."""
+def template(tokens: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keep, forms): the places of words among tokens, and the words' codes in each of FORMS. Words are lower-cased in all.
+    Numbers, units after a number and, by form, capitalised words are placeholders. Punctuation and line ends only end
+    sentences."""
+    raw = np.fromiter(map(_codes.__getitem__, tokens), np.int64, len(tokens))
+    stops = raw == _BREAK
+    keep = np.flatnonzero(~stops)
+    words = raw[keep]
+    surface = words & _MASK
+    number = words & _DIGITS != 0
+    starts = np.concatenate([[True], stops[:-1]])[keep]
+    plain = np.where(number, _NUMBER, surface)
+    measure = np.flatnonzero((words & _MEASURE != 0) & (keep > 0))
+    unit = measure[raw[keep[measure] - 1] & _DIGITS != 0]
+    plain[unit] = _UNIT
+    capital = words & _CAPITAL != 0
+    capital[unit] = False
+    named = np.where(capital & ~starts, _NAME, plain)
+    return keep, [plain, named, np.where(capital, _NAME, plain), surface]
+
+
+def _sums(marked: np.ndarray, width: int) -> np.ndarray:
+    """For each window, how many marked words it holds."""
     n = np.concatenate([[0], np.cumsum(marked)])
-    return n[width:] > n[:-width]
+    return n[width:] - n[:-width]
 
 
-def window_hashes(codes: np.ndarray, width: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows without unknown words and with enough literals, of those marked in where if given."""
-    n = len(codes) - width + 1
+def window_hashes(forms: list[np.ndarray], width: int, inside: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(form, starts, hashes) of the windows with enough literals, of those marked in inside if given. A window is given in the
+    forms in which it differs from the form before; as SURFACE only if it has too few literals as PLAIN."""
+    n = len(forms[0]) - width + 1
     if n <= 0:
-        return np.array([], np.int64), np.array([], np.uint64)
-    bad = np.concatenate([[0], np.cumsum(codes == 0)])
-    literal = np.concatenate([[0], np.cumsum(codes >= _FIRST)])
+        return
+    inside = np.ones(n, bool) if inside is None else inside
     least = min(LEAST_LITERALS, max(1, width // 2))
-    good = (bad[width:] == bad[:-width]) & (literal[width:] - literal[:-width] >= least)
-    good = np.flatnonzero(good if where is None else good & where)
-    if not len(good):
-        return good, np.array([], np.uint64)
-    h = np.zeros(len(good), np.uint64)
-    for i in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[good + i].astype(np.uint64) + np.uint64(1)
-        h ^= h >> np.uint64(29)
-    return good, h
+    for form in FORMS:
+        codes = forms[form]
+        good = inside & (_sums(codes >= _FIRST, width) >= least)
+        if form == PLAIN:
+            dense = ~good
+        elif form == SURFACE:
+            good &= dense
+        else:
+            good &= _sums(codes != forms[form - 1], width) > 0
+        starts = np.flatnonzero(good)
+        if len(starts):
+            yield form, starts, _polynomial(codes, width)[starts]
+
+
+def _polynomial(codes: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the width codes from each place, by doubling."""
+    h, size, out, done = codes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1, None, 0
+    n = len(codes) - width + 1
+    h ^= h >> np.uint64(32)
+    while size <= width:
+        if width & size:
+            part = h[done : done + n]
+            out = part if out is None else out * np.uint64(pow(_MUL, size, 1 << 64)) + part
+            done += size
+        if 2 * size <= width:
+            h = h[:-size] * np.uint64(pow(_MUL, size, 1 << 64)) + h[size:]
+        size *= 2
+    out = out * np.uint64(2 * width + 1)
+    return out ^ (out >> np.uint64(31))
 
 
 class Benchmark:
-    """Windows of a block of items, as a hash table: hash -> (item, place, form) triples, form 0 for strict templates, 1 for
-    loose ones and 2 for surfaces where those differ from the strict template."""
+    """Windows of items, as a hash table: hash -> (item, place, form)."""
 
     def __init__(self, items: Sequence[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        codes = Codes(self.vocabulary, grow=True)
         self.items, self.ids = [], []
         self.table: dict[int, dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
-            *forms, keep, tokens = template(text or "", codes)
+            tokens = _TOKEN.findall(text or "")
+            keep, forms = template(tokens)
             if not len(keep):
                 continue
-            k = len(self.items)
             self.items.append((forms, [tokens[i].lower() for i in keep]))
             self.ids.append(item_id)
             width = min(WINDOW, len(keep))
-            for form, tpl in enumerate(forms):
-                for at, h in zip(*window_hashes(tpl, width, _holds(tpl != forms[0], width) if form else None)):
-                    self.table[width][int(h)].append((k, int(at), form))
-        self.table = {w: dict(t) for w, t in self.table.items()}
+            for form, starts, hashes in window_hashes(forms, width):
+                for at, h in zip(starts.tolist(), hashes.tolist()):
+                    self.table[width][h].append((len(self.ids) - 1, at, form))
         self.sorted = {w: np.sort(np.fromiter(t, np.uint64, len(t))) for w, t in self.table.items()}
-        self.codes = Codes(self.vocabulary)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"codes": None}
 
     def matches(self, text: str | None) -> list[tuple[int, float, bool]]:
         """(item_id, share of its template found, whether a slot's filling differs) of the items that text contains."""
-        if self.codes is None:
-            self.codes = Codes(self.vocabulary)
-        *forms, keep, tokens = template(text or "", self.codes)
+        tokens = _TOKEN.findall(text or "")
+        keep, forms = template(tokens)
         found: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for (width, known), tpl in product(self.sorted.items(), forms):
-            if len(tpl) < width:
-                continue
-            starts, hashes = window_hashes(tpl, width, None if tpl is forms[0] else _holds(tpl != forms[0], width))
-            if not len(starts):
-                continue
-            at = np.searchsorted(known, hashes)
-            hit = known[np.minimum(at, len(known) - 1)] == hashes
-            for start, h in zip(starts[hit].tolist(), hashes[hit].tolist()):
-                for item, place, form in self.table[width][h]:
-                    if np.array_equal(tpl[start : start + width], self.items[item][0][form][place : place + width]):
-                        found[item] |= {(place + i, start + i) for i in range(width)}
+        for width, known in self.sorted.items():
+            for form, starts, hashes in window_hashes(forms, width):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                for start, h in zip(starts[hit].tolist(), hashes[hit].tolist()):
+                    for item, place, other in self.table[width][h]:
+                        if np.array_equal(forms[form][start : start + width], self.items[item][0][other][place : place + width]):
+                            found[item] |= {(place + i, start + i) for i in range(width)}
         out = []
         for item, pairs in found.items():
             share, changed = self._consistent(item, pairs, keep, tokens)
@@ -174,7 +188,7 @@ class Benchmark:
         """Share of the item in one occurrence whose slots are filled consistently: equal fillings in the item have equal
         fillings in the text, different ones different. Occurrences are told apart by their offset, give or take a few
         inserted or dropped words."""
-        (_, tpl, _), surface = self.items[item]
+        (_, _, tpl, _), surface = self.items[item]
         by_offset: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for place, at in sorted(pairs):
             by_offset[at - place].append((place, at))
@@ -199,51 +213,132 @@ class Benchmark:
         return best, changed
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_BYTES of text, collected one block at a time."""
-    rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BLOCK_BYTES))
-    for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column("item"), batch.column("text")):
+            keep, forms = template(_TOKEN.findall(text.as_py() or ""))
+            width = min(WINDOW, len(keep))
+            found = [h for _, _, h in window_hashes(forms, width)] if width else []
+            hashes = np.unique(np.concatenate(found)).view(np.int64) if found else np.array([], np.int64)
+            cols = [pa.array(hashes), pa.array([item.as_py()] * len(hashes), pa.int64()), pa.array([width] * len(hashes), pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["hash", "item", "width"])
+
+
+def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
+    """bits / 8 bytes in which the windows' lowest hash bits are set; put together on the executors, at most MOST_BITS."""
+    at = F.col("hash").bitwiseAND(bits - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    rows = windows.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(bit).alias("set")).toPandas()
+    out = np.zeros(max(1, bits // 64), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64)
+    return out.view(np.uint8)
+
+
+def _marked(model, bits: int, widths: list[int]):
+    """Adds `hits`: the distinct hashes of a text's windows that pass the bitmap."""
+
+    def hits(texts: list[str]) -> Iterator[np.ndarray]:
+        bitmap = model.value
+        tokens, sizes = [], []
+        for text in texts:
+            before = len(tokens)
+            tokens += _TOKEN.findall(text)
+            tokens.append("\n")
+            sizes.append(len(tokens) - before)
+        keep, forms = template(tokens)
+        doc = np.repeat(np.arange(len(texts)), sizes)[keep]
+        where, values = [], []
+        for width in widths:
+            inside = doc[: len(doc) - width + 1] == doc[width - 1 :]
+            for _, starts, hashes in window_hashes(forms, width, inside):
+                at = (hashes & np.uint64(bits - 1)).astype(np.int64)
+                on = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                where.append(doc[starts[on]])
+                values.append(hashes[on])
+        where = np.concatenate(where) if where else np.array([], np.int64)
+        order = np.argsort(where, kind="stable")
+        values = np.concatenate(values)[order].view(np.int64) if len(where) else np.array([], np.int64)
+        bounds = np.searchsorted(where[order], np.arange(len(texts) + 1))
+        for lo, hi in zip(bounds, bounds[1:]):
+            yield np.unique(values[lo:hi])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held, size = [], [], 0
+            for text in batch.column("text"):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= CHUNK:
+                    found += hits(held)
+                    held, size = [], 0
+            found += hits(held) if held else []
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, _HITS])
+
+    return mark
+
+
+_ROW, _HITS = "tarn document row", "tarn window hits"
+_FOUND = "array<struct<item_id:long,share:double,changed:boolean>>"
+
 
+@lru_cache(maxsize=256)
+def _one_item(item_id: int, text: str) -> Benchmark:
+    return Benchmark([(item_id, text)])
 
-_FOUND = "array<struct<item_id:long,share:double,changed:boolean>>"
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for row, item, asked, text in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "asked", "text"))):
+            out += [(row, *m) for m in _one_item(item, asked).matches(text)]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "item_id", "share", "changed"])
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with _ROW and _HITS, in the shared folder; (row, item_id, share, changed) of the items found)."""
+    asked = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = cut(asked.withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = cut(items.select("item", "text").mapInArrow(_item_windows, "hash long, item long, width int"), "windows")
+    n, widths = windows.count(), sorted(r[0] for r in windows.select("width").distinct().collect())
+    bits = min(MOST_BITS, 1 << max(6, math.ceil(math.log2(max(1, n * BITS_PER_WINDOW)))))
+    model = docs.sparkSession.sparkContext.broadcast(_bitmap(windows, bits))
+    kind = StructType([*docs.schema.fields, StructField(_HITS, ArrayType(LongType()))])
+    marked = docs.mapInArrow(_marked(model, bits, widths), kind)
+    marked = cut(marked.withColumn(_ROW, F.monotonically_increasing_id()), "marked")
+    some = marked.where(F.size(_HITS) > 0)
+    pairs = some.select(F.col(_ROW).alias("row"), F.explode(_HITS).alias("hash")).join(windows, "hash").select("row", "item").distinct()
+    pairs = pairs.join(items.select("item", "item_id", F.col("text").alias("asked")), "item")
+    pairs = pairs.join(some.select(F.col(_ROW).alias("row"), "text"), "row").select("row", "item_id", "asked", "text")
+    return marked, cut(pairs.mapInArrow(_verified, "row long, item_id long, share double, changed boolean"), "found")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of docs and `items`: array<struct(item_id, share, changed)> of the benchmark items a text contains.
 
-    `changed` marks items with other numbers, names or units than the benchmark's. A window is hashed after its
-    words are coded by the benchmark's vocabulary; it is looked up in the hash table of the benchmark's windows, which
-    goes to the tasks in blocks of at most about BLOCK_BYTES of text, one pass over the documents for all of them. Hits are
-    compared word by word. Windows are also looked up as they stand, as those with too few literals, such as formulas, have no
-    template; a run of LONG_RUN words in common is a hit whatever its share. Documents are neither shuffled nor cut. Items shorter than a window must occur whole; items
-    without words, and null or empty texts, match nothing. Repeated rows are each judged. A column `items` is replaced.
+    `changed` marks items with other numbers, names or units than the benchmark's. A document's template windows pass a bitmap
+    of the benchmark's window hashes, at most MOST_BITS however large the benchmark is; what passes, hardly more than the
+    windows that the benchmark has, is hash-joined with the table of the benchmark's windows. The document and item of a hit are
+    then compared word by word and slot by slot. Capitals don't matter: windows are looked up with and without names as
+    placeholders. Windows with too few literals, such as formulas, are looked up as they stand; a run of LONG_RUN words in common
+    is a hit whatever its share. Items shorter than a window must occur whole; items without words, and null or empty texts,
+    match nothing. Repeated rows are each judged. A column `items` is replaced, other columns stay.
     """
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("changed", pa.bool_())]))
-    rows = docs.drop("items").withColumn("items", F.array().cast(_FOUND))
-    for block in _blocks(benchmark):
-        model = Benchmark(block)
-        if not model.items:
-            continue
-
-        def look(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                before = batch.column("items").to_pylist()
-                now = [
-                    old + [{"item_id": i, "share": s, "changed": c} for i, s, c in model.matches(t.as_py())]
-                    for old, t in zip(before, batch.column("text"))
-                ]
-                at = batch.schema.get_field_index("items")
-                yield batch.set_column(at, pa.field("items", kind), pa.array(now, kind))
-
-        rows = rows.mapInArrow(look, rows.schema)
-    return rows
+    marked, found = _searched(docs.drop("items"), benchmark)
+    items = F.array_sort(F.collect_list(F.struct("item_id", "share", "changed"))).cast(_FOUND)
+    found = found.groupBy(F.col("row").alias(_ROW)).agg(items.alias("items"))
+    none = marked.where(F.size(_HITS) == 0).withColumn("items", F.array().cast(_FOUND))
+    some = marked.where(F.size(_HITS) > 0).join(found, _ROW, "left").withColumn("items", F.coalesce("items", F.array().cast(_FOUND)))
+    return none.unionByName(some.select(*none.columns)).drop(_ROW, _HITS)
 
 
 def keep_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item, with docs' columns."""
-    return find_items(docs, benchmark).where(F.size("items") == 0).select(*docs.columns)
+    marked, found = _searched(docs, benchmark)
+    some = marked.where(F.size(_HITS) > 0).join(found.select(F.col("row").alias(_ROW)), _ROW, "left_anti")
+    return marked.where(F.size(_HITS) == 0).unionByName(some.select(*marked.columns)).select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

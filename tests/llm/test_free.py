@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -283,9 +284,9 @@ ITEMS = [
 ]
 
 
-@pytest.mark.parametrize("block", [1, 16 << 20])
-def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_decontamination(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     cases = {
         1: ("before. " + ITEMS[1][1] + " after", {(2, False)}),
         2: ("So if Carol has 31 apples and gives 7 apples to Dave, how many apples does Carol have left after lunch?", {(1, True)}),
@@ -328,6 +329,84 @@ def test_decontamination_of_dense_items_names_at_starts_and_long_runs():
     assert found(" ".join(run)) == set() and found("the 1 2 3 count") == {(4, False)}
 
 
+def plain_windows(text):
+    """Every window of a text in every form, by the rules, word by word."""
+    tokens = re.findall(r"[.!?\n]|\d+(?:[.,]\d+)*|[^\W\d_]+", text)
+    words, start = [], True
+    for i, t in enumerate(tokens):
+        if t in ".!?\n":
+            start = True
+            continue
+        number = t[0].isdigit()
+        unit = t.lower() in decontaminate.UNITS and i > 0 and tokens[i - 1][0].isdigit()
+        first = "<n>" if number else "<u>" if unit else t.lower()
+        name = t[0].isupper() and not unit
+        words.append((first, "<p>" if name and not start else first, "<p>" if name else first, t.lower()))
+        start = False
+    width, out = min(8, len(words)), set()
+    least = min(4, max(1, width // 2))
+    for i in range(len(words) - width + 1) if width else ():
+        forms = [tuple(w[k] for w in words[i : i + width]) for k in range(4)]
+        enough = [sum(x[0] != "<" for x in form) >= least for form in forms]
+        out |= {(i, forms[k]) for k in range(3) if enough[k]} | ({(i, forms[3])} if not enough[0] else set())
+    return out
+
+
+def test_template_windows_against_plain_ones():
+    rng = random.Random(23)
+    words = "Alice Bob apples has 12 3.5 km kg the and . ! gives of to ÉCOLE été 7 hours Train x_y \n".split(" ")
+    for n in [*range(1, 12), 40, 200] * 5:
+        text = " ".join(rng.choice(words) for _ in range(n))
+        keep, forms = decontaminate.template(decontaminate._TOKEN.findall(text))
+        width, hashes = min(8, len(keep)), {}
+        want = plain_windows(text)
+        got = [(int(at), int(h)) for _, starts, found in decontaminate.window_hashes(forms, width) for at, h in zip(starts, found)] if width else []
+        assert len(set(got)) == len({(i, w) for i, w in want})
+        assert {at for at, _ in got} == {i for i, _ in want}
+        for (at, h) in got:
+            hashes.setdefault(h, set()).add(at)
+        same = {}
+        for i, w in want:
+            same.setdefault(w, set()).add(i)
+        assert sorted(map(sorted, hashes.values())) == sorted(map(sorted, same.values()))
+
+
+def test_recall_of_changed_recased_and_partial_items(spark):
+    rng = random.Random(24)
+    lower = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8))) for _ in range(800)]
+    names = [w.capitalize() for w in lower[:60]]
+
+    def item(fill):
+        parts = []
+        for kind, x in fill:
+            parts.append(names[x] if kind == "name" else str(x) if kind == "number" else x)
+        return " ".join(parts)
+
+    def other(fill, shift):
+        return [(k, (x + shift) % 60 if k == "name" else x + shift if k == "number" else x) for k, x in fill]
+
+    items, docs, want = [], [], {}
+    pad = lambda n: " ".join(rng.choice(lower) for _ in range(n))
+    for k in range(60):
+        fill = []
+        for _ in range(rng.randrange(20, 60)):
+            kind = rng.choice(["word"] * 7 + ["name", "number"])
+            fill.append((kind, rng.randrange(60) if kind == "name" else rng.randrange(2, 500) if kind == "number" else rng.choice(lower)))
+        text = item(fill)
+        items.append((k, text))
+        numbers = item([(c, x + 31 if c == "number" else x) for c, x in fill])
+        half = " ".join(text.split()[: -(-len(fill) * 6 // 10)])
+        for j, form in enumerate((text, item(other(fill, 17)), text.upper(), text.lower(), text.title(), numbers.upper(), half)):
+            docs.append((10 * k + j, pad(30) + ". " + form + ". " + pad(30)))
+            want[10 * k + j] = (k, j)
+        docs.append((10 * k + 9, pad(100)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["items"]] for r in decontaminate.find_items(table(spark, docs), bench).collect()}
+    hit = [sum(got[10 * k + j] == [k] for k in range(60)) / 60 for j in range(7)]
+    assert min(hit) >= 0.9, hit
+    assert not any(got[10 * k + 9] for k in range(60))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
