@@ -24,8 +24,9 @@ LEAST_LITERALS = 4
 LEAST_SHARE = 0.5
 #: Words in a row that are a hit verbatim, whatever share of a longer item they are.
 LONG_RUN = 50
-#: Bits for each benchmark window, and at most, of the bitmap that windows of documents pass before they are joined.
-BITS_PER_WINDOW, MOST_BITS = 32, 1 << 27
+#: Bits for each benchmark window, and at most, of the bitmap that windows of documents pass before they are joined. A window's
+#: bits are at its hash shifted by each of PROBES.
+BITS_PER_WINDOW, MOST_BITS, PROBES = 128, 1 << 27, (0, 18, 37)
 #: Characters of documents whose windows are hashed together.
 CHUNK = 1 << 19
 MEMO_WORDS = 200_000
@@ -225,10 +226,11 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """bits / 8 bytes in which the windows' lowest hash bits are set; put together on the executors, at most MOST_BITS."""
-    at = F.col("hash").bitwiseAND(bits - 1)
+    """bits / 8 bytes in which the windows' bits are set; put together on the executors, at most MOST_BITS."""
+    probes = F.array(*[F.shiftrightunsigned("hash", p).bitwiseAND(bits - 1) for p in PROBES])
+    at = F.col("at")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
-    rows = windows.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(bit).alias("set")).toPandas()
+    rows = windows.select(F.explode(probes).alias("at")).groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(bit).alias("set")).toPandas()
     out = np.zeros(max(1, bits // 64), np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64)
     return out.view(np.uint8)
@@ -251,8 +253,10 @@ def _marked(model, bits: int, widths: list[int]):
         for width in widths:
             inside = doc[: len(doc) - width + 1] == doc[width - 1 :]
             for _, starts, hashes in window_hashes(forms, width, inside):
-                at = (hashes & np.uint64(bits - 1)).astype(np.int64)
-                on = np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                on = np.arange(len(hashes))
+                for probe in PROBES:
+                    at = (hashes[on] >> np.uint64(probe) & np.uint64(bits - 1)).astype(np.int64)
+                    on = on[(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
                 where.append(doc[starts[on]])
                 values.append(hashes[on])
         where = np.concatenate(where) if where else np.array([], np.int64)

@@ -19,6 +19,8 @@ from tarn.llm.labelled import Sample, fold, labelled_sample
 PER_CLASS = 4000
 MAX_BYTES = 48 << 20
 BLOCK = 1024
+#: Blocks that a dictionary is trained on, a seeded choice of all blocks of its half of a class's sample.
+TRAINING_BLOCKS = 30_000
 DICTIONARY_BYTES = 65536
 LEVEL = 3
 #: Bytes at which a text's difference counts half: short texts differ by chance.
@@ -78,7 +80,7 @@ def _dictionary(texts: list[str], seed: int) -> bytes:
     if not blocks:
         return b""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks[:30_000]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks[:TRAINING_BLOCKS]).as_bytes()
     except zstandard.ZstdError:  # too few samples to train: their text itself is the dictionary
         return b"".join(blocks)[:DICTIONARY_BYTES]
 

@@ -14,11 +14,13 @@ _written: dict[str, tuple[SparkSession, str | None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The cluster's spark.checkpoint.dir, or the context's; without either there is no folder that all executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        folder = tempfile.mkdtemp(prefix="tarn-shared-")  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(folder)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tarn-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
