@@ -7,68 +7,95 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.bloom import bloom_filter, possible_hits
 from tarn.llm.shared import cut
 
-#: Index entries (distinct texts) that a bucket holds before the directory doubles.
+#: Keys that a bucket holds before the directory doubles.
 BUCKET_ENTRIES = 16_384
 MAX_DEPTH = 48
+#: Times that the directory may double beyond the depth at which its buckets would hold all keys if these were spread evenly.
+DOUBLINGS = 16
+#: Directory rows up to which the directory is sent to every executor; beyond it the lookup is a shuffled join.
+BROADCAST_BUCKETS = 100_000
+_KEY, _BODY, _PREFIX = "tarn key hash", "tarn body", "tarn prefix"
 
 
-def _prefix(depth: int) -> Column:
-    return F.shiftrightunsigned("key_hash", 64 - depth) if depth else F.lit(0).cast("long")
+def _prefix(key: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def build_index(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
-    """One row per distinct text: key_hash, text_sha256, group_size, keep_id, bucket, depth, chain.
+def build_directory(keys: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> tuple[DataFrame, int]:
+    """keys (_KEY, distinct) -> the directory and its depth: a row (_PREFIX, bucket, depth) for each first `depth` bits of a key.
 
-    The texts that share a 64-bit key are compared byte by byte (they are grouping keys) and chained in their bucket;
-    `chain` is the place in that chain, 0 nearly always. Copies meet on the map side, so a hot text costs a row per task.
-    The directory starts at the depth that the entry count asks for and doubles while a bucket is overfull; a bucket that
-    was not overfull at a smaller depth keeps that depth, as in extendible hashing. Each bucket is a range of keys; the
-    task that owns it orders its chains and writes them, sorted by key, to the shared folder.
+    The directory starts at one bucket that would hold all keys if they were few, at the depth that their number asks for
+    otherwise, and doubles while a bucket is overfull. As in extendible hashing, only overfull buckets split: the slots
+    below a bucket that was not overfull at a smaller depth all point to it. A bucket is a range of keys.
     """
-    text = F.coalesce("text", F.lit(""))
-    entries = docs.select("doc_id", text.alias("body")).select("doc_id", "body", F.xxhash64("body").alias("key_hash"))
-    entries = entries.groupBy("key_hash", "body").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    entries = cut(entries.select("key_hash", F.sha2("body", 256).alias("text_sha256"), "group_size", "keep_id"), "entries")
-
-    depth = max(0, math.ceil(math.log2(max(1, entries.count() / bucket_entries))))
+    depth = max(0, math.ceil(math.log2(max(1, keys.count() / bucket_entries))))
+    bits = min(MAX_DEPTH, depth + DOUBLINGS)
+    counted = cut(keys.groupBy(_prefix(F.col(_KEY), bits).alias("p")).count(), "key-ranges")
     levels = []
     while True:
-        level = entries.groupBy(_prefix(depth).alias(f"p{depth}")).agg(F.count("*").alias(f"n{depth}"))
+        level = counted.groupBy(F.shiftrightunsigned("p", bits - depth).alias(f"p{depth}")).agg(F.sum("count").alias(f"n{depth}"))
         levels.append((depth, level))
-        fullest = level.agg(F.max(f"n{depth}")).first()[0] or 0
-        if fullest <= bucket_entries or depth >= MAX_DEPTH:
+        if (level.agg(F.max(f"n{depth}")).first()[0] or 0) <= bucket_entries or depth >= bits:
             break
         depth += 1
-    for d, level in levels[:-1]:
-        entries = entries.withColumn(f"p{d}", _prefix(d)).join(level, f"p{d}")
-    local = F.lit(depth)
-    for d, _ in reversed(levels[:-1]):
+    slots = counted.select(F.shiftrightunsigned("p", bits - depth).alias(_PREFIX)).distinct()
+    local, bucket = F.lit(depth), F.col(_PREFIX)
+    for d, level in reversed(levels[:-1]):
+        slots = slots.withColumn(f"p{d}", F.shiftrightunsigned(_PREFIX, depth - d)).join(level, f"p{d}")
         local = F.when(F.col(f"n{d}") <= bucket_entries, F.lit(d)).otherwise(local)
-    entries = entries.withColumn("depth", local)
-    shifted = F.lit(0).cast("long")
-    for d, _ in levels:
-        shifted = F.when(F.col("depth") == d, _prefix(d)).otherwise(shifted)
-    owned = entries.withColumn("bucket", shifted).repartition("bucket", "depth")
-    chains = Window.partitionBy("bucket", "depth", "key_hash").orderBy("text_sha256")
-    owned = owned.withColumn("chain", F.row_number().over(chains) - 1)
-    return cut(owned.select("key_hash", "text_sha256", "group_size", "keep_id", "bucket", "depth", "chain"), "index")
+        bucket = F.when(F.col(f"n{d}") <= bucket_entries, F.col(f"p{d}")).otherwise(bucket)
+    return cut(slots.select(_PREFIX, bucket.alias("bucket"), local.alias("depth")), "directory"), depth
+
+
+def _looked_up(rows: DataFrame, directory: tuple[DataFrame, int]) -> DataFrame:
+    """rows (_KEY) with their bucket and depth."""
+    slots, depth = directory
+    slots = F.broadcast(slots) if depth <= math.log2(BROADCAST_BUCKETS) else slots
+    return rows.withColumn(_PREFIX, _prefix(F.col(_KEY), depth)).join(slots, _PREFIX).drop(_PREFIX)
+
+
+def build_chains(rows: DataFrame) -> DataFrame:
+    """rows (bucket, depth, _KEY, _BODY, doc_id) -> a bucket's chains: bucket, depth, _KEY, _BODY, group_size, keep_id, chain.
+
+    Texts with one key are told apart by their bytes, as grouping compares them, and chained in that order; `chain` is a text's
+    place, 0 nearly always. Copies meet on the map side, so a hot text is a row per task. The task that owns a range of
+    buckets, which is one of keys, writes their chains to the shared folder, in order.
+    """
+    entries = rows.groupBy("bucket", "depth", _KEY, _BODY).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
+    entries = entries.repartitionByRange(F.col("bucket") / F.pow(F.lit(2.0), "depth"), _KEY)
+    chains = Window.partitionBy("bucket", "depth", _KEY).orderBy(_BODY)
+    return cut(entries.withColumn("chain", F.row_number().over(chains) - 1), "chains")
 
 
 def exact_dedup(docs: DataFrame, bucket_entries: int = BUCKET_ENTRIES) -> DataFrame:
     """All columns of docs, and keep_id, group_size, kept, text_sha256, bucket, depth, chain; one row per input row.
 
+    A row's key, the XXH64 of its text, leads through the directory to its bucket. Keys that only one row has are settled
+    there: nothing else can be equal. A Bloom filter of the other keys picks the rows that need more; these go to their
+    bucket's owner and along the chain of their key, whose texts are compared with theirs byte by byte.
+
     Null text counts as empty. Of equal texts the row with the largest doc_id stays; rows whose doc_id is null stay only
     if all of their group are null. Repeated rows (same doc_id and text) all carry kept = true, as they can't be told
-    apart; keep_documents() leaves one of them. Columns of docs that clash with the added ones are replaced.
+    apart; keep_documents() leaves one of them. Columns of docs that are named like an added one are replaced, others stay.
     """
-    index = build_index(docs, bucket_entries)
-    added = ["keep_id", "group_size", "kept", "text_sha256", "bucket", "depth", "chain", "key_hash"]
+    added = ["keep_id", "group_size", "kept", "text_sha256", "bucket", "depth", "chain"]
     body = F.coalesce("text", F.lit(""))
-    keyed = docs.drop(*added).withColumns({"key_hash": F.xxhash64(body), "text_sha256": F.sha2(body, 256)})
-    found = keyed.join(index, ["key_hash", "text_sha256"])
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("key_hash")
+    keys = cut(docs.select(F.xxhash64(body).alias(_KEY)).groupBy(_KEY).agg(F.count("*").alias("n")), "keys")
+    directory = build_directory(keys.select(_KEY), bucket_entries)
+    several = keys.where("n > 1").select(_KEY)
+    n = several.count()
+    rows = docs.drop(*added).withColumnRenamed("possible", "tarn possible").withColumns({_KEY: F.xxhash64(body), "text_sha256": F.sha2(body, 256)})
+    rows = possible_hits(_looked_up(rows, directory), _KEY, bloom_filter(several, _KEY, n), n)
+    single = rows.where(~F.col("possible")).withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "chain": F.lit(0)})
+    again = rows.where("possible").withColumn(_BODY, body)
+    chains = build_chains(again).select("bucket", "depth", _KEY, F.col(_BODY).alias("tarn entry"), "group_size", "keep_id", "chain")
+    found = again.join(chains, ["bucket", "depth", _KEY]).where(F.col(_BODY) == F.col("tarn entry"))
+    out = single.unionByName(found.select(*single.columns)).drop("possible", _KEY)
+    out = out.withColumnRenamed("tarn possible", "possible")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:

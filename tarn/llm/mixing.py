@@ -60,43 +60,58 @@ def mix(
     words. So each source's taken words miss the target by less than one word. The draw is SHA-256 of seed and doc_id;
     its first digits cut a source into slices whose sizes are summed on the map side, and only the slice that holds the
     boundary is put in order. Null text has size 0; a null source is a source of its own, last. Repeated rows draw alike
-    and are each their own document. Empty tables give empty results.
+    and are each their own document. Empty tables give empty results. Columns of docs that are named like an added one are
+    replaced, others stay. mixed_rows() gives the mix itself.
     """
     added = ["size", "source_size", "target", "copies", "part", "taken"]
     draw = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    rows = docs.drop(*added).withColumns({"size": word_count("text"), "_draw": draw})
-    rows = rows.withColumn("_slice", F.substring("_draw", 1, SLICE_DIGITS))
-    slices = cut(rows.groupBy("source", "_slice").agg(F.sum("size").alias("in_slice")), "slices")
+    rows = docs.drop(*added).withColumns({"size": word_count("text"), "tarn draw": draw})
+    rows = rows.withColumn("tarn slice", F.substring("tarn draw", 1, SLICE_DIGITS))
+    slices = cut(rows.groupBy("source", "tarn slice").agg(F.sum("size").alias("in_slice")), "slices")
     few = slices.select("source").distinct().count() <= BROADCAST_SOURCES
     sizes = water_fill(slices.groupBy("source").agg(F.sum("in_slice").alias("source_size")), weights, budget, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     sizes = sizes.withColumn("copies", whole.cast("long"))
     rest = F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long")
-    sizes = sizes.withColumn("_rest", rest)
-    along = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = slices.withColumn("_upto", F.sum("in_slice").over(along)).join(
-        sizes.select(F.col("source").alias("_s"), "_rest"), F.col("source").eqNullSafe(F.col("_s"))
+    sizes = sizes.withColumn("tarn rest", rest).drop("weight")
+    along = Window.partitionBy("source").orderBy("tarn slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = slices.withColumn("tarn upto", F.sum("in_slice").over(along)).join(
+        sizes.select(F.col("source").alias("_s"), "tarn rest"), F.col("source").eqNullSafe(F.col("_s"))
     )
-    edge = edge.where("_upto >= _rest").groupBy("source").agg(F.min(F.struct("_slice", "_upto", "in_slice")).alias("e"))
+    edge = edge.where(F.col("tarn upto") >= F.col("tarn rest")).groupBy("source").agg(F.min(F.struct(F.col("tarn slice").alias("s"), F.col("tarn upto").alias("u"), "in_slice")).alias("e"))
     edge = edge.select(
-        F.col("source").alias("_e"), F.col("e._slice").alias("_edge"), (F.col("e._upto") - F.col("e.in_slice")).alias("_before")
+        F.col("source").alias("_e"), F.col("e.s").alias("tarn edge"), (F.col("e.u") - F.col("e.in_slice")).alias("tarn before")
     )
-    plan = sizes.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e").withColumnRenamed("source", "_src")
+    plan = sizes.join(edge, F.col("source").eqNullSafe(F.col("_e")), "left").drop("_e").withColumnRenamed("source", "tarn src")
     plan = F.broadcast(cut(plan, "plan")) if few else plan
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "weight")
-    on_edge = F.col("_slice") == F.col("_edge")
-    order = Window.partitionBy("source").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.where(on_edge).withColumn("_at", F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    outside = rows.where(~F.coalesce(on_edge, F.lit(False))).withColumn("_at", F.lit(None).cast("long"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("tarn src"))).drop("tarn src")
+    on_edge = F.col("tarn slice") == F.col("tarn edge")
+    order = Window.partitionBy("source").orderBy("tarn draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.where(on_edge).withColumn("tarn at", F.col("tarn before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    outside = rows.where(~F.coalesce(on_edge, F.lit(False))).withColumn("tarn at", F.lit(None).cast("long"))
     rows = outside.unionByName(inside)
     part = (
-        F.when(on_edge, F.greatest(F.lit(0), F.least("size", F.col("_rest") - F.col("_at"))))
-        .when(F.col("_slice") < F.col("_edge"), F.col("size"))
+        F.when(on_edge, F.greatest(F.lit(0), F.least("size", F.col("tarn rest") - F.col("tarn at"))))
+        .when(F.col("tarn slice") < F.col("tarn edge"), F.col("size"))
         .otherwise(F.lit(0))
     )
     rows = rows.withColumn("part", part.cast("long"))
     rows = rows.withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-    return rows.drop("_draw", "_slice", "_edge", "_before", "_rest", "_at")
+    return rows.drop("tarn draw", "tarn slice", "tarn edge", "tarn before", "tarn rest", "tarn at")
+
+
+def mixed_rows(mixed: DataFrame) -> DataFrame:
+    """The mix of mix()'s rows: a row `copies` times with its whole text, and once with its first `part` words if part > 0.
+
+    `taken` is then a row's own words, `copies` and `part` go. A part is its words, space-joined. Rows that the
+    mix doesn't take aren't there; whole copies of texts without words, which take nothing, are left out too.
+    """
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    whole = F.struct(F.col("text").alias("text"), F.col("size").alias("taken"))
+    piece = F.when(F.col("part") > 0, F.array(F.struct(first.alias("text"), F.col("part").alias("taken")))).otherwise(F.array().cast("array<struct<text:string,taken:bigint>>"))
+    rows = mixed.where("taken > 0").withColumn("tarn piece", F.explode(F.concat(F.array_repeat(whole, F.col("copies").cast("int")), piece)))
+    rows = rows.withColumns({"text": F.col("tarn piece")["text"], "taken": F.col("tarn piece")["taken"]})
+    return rows.drop("tarn piece", "copies", "part")
 
 
 SQL = r"""

@@ -17,6 +17,7 @@ RULES = (
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 )
+_SAID = "tarn rule verdict"
 PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 #: Query keys that only track visitors.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
@@ -38,6 +39,10 @@ def bare_host(url: Column | str) -> Column:
     return F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
 
 
+#: Host labels that the query's list is made of.
+BAD_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
 def canonical_url(url: Column | str) -> Column:
     """host without www./m., path without trailing slashes, query without tracking keys; no scheme, no fragment."""
     query = F.regexp_replace(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), TRACKING, "")
@@ -70,7 +75,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     added = ["host", "path", "canon", "rule", "possible", "listed", "verdict"]
     rows = pages.drop(*added).withColumns({"host": host_of("url"), "path": path_of("url"), "canon": canonical_url("url")})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "_said": verdict})
+    rows = rows.withColumns({"rule": rule, _SAID: verdict})
     rows = possible_hits(rows, "canon", bloom_filter(keys, "canon", n_keys), n_keys)
     doubtful = rows.where(F.col("possible") & F.col("rule").isNull())
     clear = rows.where(~(F.col("possible") & F.col("rule").isNull())).withColumn("listed", F.lit(False))
@@ -78,7 +83,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     checked = doubtful.join(sure, "canon", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rows = clear.unionByName(checked.select(*clear.columns))
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("verdict", F.coalesce("_said", method)).drop("_said")
+    return rows.withColumn("verdict", F.coalesce(_SAID, method)).drop(_SAID)
 
 
 _HOST = r"coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -89,7 +94,7 @@ WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path,
     '(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '&+', '&', 'g'), '^&|&$', '', 'g') AS query FROM pages),
 c AS (SELECT *, regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '/+$', '')
         || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canon FROM p),
-l AS (SELECT DISTINCT canon FROM c WHERE host LIKE 'spam-farm.%'),
+l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)({"|".join(BAD_LABELS)})\.')),
 r AS (SELECT *, CASE
    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
@@ -102,12 +107,12 @@ SELECT page_id, host, path, rule,
 """
 
 
-def spam_farm_urls(pages: DataFrame) -> DataFrame:
-    """The rows of pages (url) on spam-farm hosts, with www. or m. before them or not."""
-    return pages.where(F.startswith(bare_host("url"), F.lit("spam-farm.")))
+def listed_urls(pages: DataFrame, labels: Sequence[str] = BAD_LABELS) -> DataFrame:
+    """The rows of pages (url) on hosts of which a label, but the last, is one of labels."""
+    return pages.where(host_of("url").rlike(rf"(^|\.)(?:{'|'.join(labels)})\."))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
-    """The list is that of all urls of spam-farm hosts, in any of their forms. SQL lists hosts without www./m. only."""
+    """The list is that of all urls of pages on hosts with a bad label, in any of their forms."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages, spam_farm_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, listed_urls(pages)).select("page_id", "host", "path", "rule", "verdict")

@@ -35,7 +35,7 @@ def by_id(df):
 
 @pytest.mark.parametrize("bucket", [1, 2, 16384])
 def test_exact(spark, bucket):
-    docs = table(spark, ODD).withColumn("kept", F.lit("clash")).withColumn("extra", F.lit(1))
+    docs = table(spark, ODD).withColumns({"kept": F.lit("clash"), "extra": F.lit(1), "key_hash": F.lit(2), "possible": F.lit(3), "block": F.lit(4)})
     got = exact.exact_dedup(docs, bucket).collect()
     assert len(got) == len(ODD)
     groups = defaultdict(list)
@@ -45,12 +45,26 @@ def test_exact(spark, bucket):
         ids = groups[r["text"] or ""]
         keep = max((i for i in ids if i is not None), default=None)
         assert (r["keep_id"], r["group_size"], r["kept"], r["extra"]) == (keep, len(ids), r["doc_id"] == keep, 1)
+        assert (r["key_hash"], r["possible"], r["block"]) == (2, 3, 4)
         assert r["text_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
-    index = exact.build_index(table(spark, ODD), bucket)
-    assert index.groupBy("bucket", "depth").count().agg(F.max("count")).first()[0] <= max(bucket, 1)
+    buckets = defaultdict(set)
+    for r in got:
+        buckets[r["bucket"], r["depth"]].add(r["text"] or "")
+        key = xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)
+        assert key >> (64 - r["depth"]) == r["bucket"] and r["chain"] == 0
+    assert max(map(len, buckets.values())) <= bucket
     assert sorted(r["doc_id"] or 0 for r in exact.keep_documents(table(spark, ODD)).collect()) == [0, 3, 5, 7, 8, 9, 10]
 
 
+def test_texts_with_one_key_are_chained_and_compared(spark, monkeypatch):
+    rows = [(i, f"text {i % 7}", "a") for i in range(40)]
+    monkeypatch.setattr(exact.F, "xxhash64", lambda *c: F.pmod(F.crc32(F.coalesce(c[0], F.lit("")).cast("string").cast("binary")), F.lit(2)))
+    got = exact.exact_dedup(table(spark, rows)).collect()
+    monkeypatch.undo()
+    assert len(got) == 40 and all(r["keep_id"] == max(i for i, t, _ in rows if t == r["text"]) for r in got)
+    assert len({(r["bucket"], r["chain"], r["text"]) for r in got}) == 7 and max(r["chain"] for r in got) >= 3
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert exact.exact_dedup(none).count() == 0 and mixing.mix(none).count() == 0 and secrets.find_secrets(none).count() == 0
@@ -76,8 +90,14 @@ def fill(sizes, weights, budget, epochs):
 
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (i % 17)), f"s{i % 7}" if i % 7 else None) for i in range(300)] + [(0, "a b", "z"), (0, "a b", "z"), (1, None, "y")]
-    got = by_id(mixing.mix(table(spark, rows).withColumn("size", F.lit(0)), epochs=2.0))
+    clash = {"size": F.lit(0), "weight": F.lit(5), "_slice": F.lit(6), "_rest": F.lit(7), "_at": F.lit(8)}
+    mixed = mixing.mix(table(spark, rows).withColumns(clash), epochs=2.0)
+    got = by_id(mixed)
     flat = [r for rs in got.values() for r in rs]
+    assert {(r["weight"], r["_slice"], r["_rest"], r["_at"]) for r in flat} == {(5, 6, 7, 8)}
+    out = mixing.mixed_rows(mixed).collect()
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in out) == sum(r["taken"] for r in flat)
+    assert len(out) == sum((r["copies"] + (r["part"] > 0)) for r in flat if r["taken"])
     sizes = defaultdict(int)
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
@@ -106,7 +126,10 @@ def test_urls(spark):
     ]
     frame = spark.createDataFrame([(i, u, "clash") for i, u in pages], "page_id long, url string, verdict string")
     listed = spark.createDataFrame([("https://bad.org/x/?k=1",), ("https://bad.org/x/?k=1",), (None,)], "url string")
-    got = by_id(urls.filter_urls(frame, listed).withColumnRenamed("page_id", "doc_id"))
+    frame = frame.withColumns({"w0": F.lit(1), "block": F.lit(2), "_said": F.lit(3)})
+    found = urls.filter_urls(frame, listed)
+    assert {(r["w0"], r["block"], r["_said"]) for r in found.collect()} == {(1, 2, 3)}
+    got = by_id(found.withColumnRenamed("page_id", "doc_id"))
     one = lambda i: (got[i][0]["host"], got[i][0]["path"], got[i][0]["rule"], got[i][0]["verdict"])
     assert one(2) == ("com", "/en/", "com/en/", "block") and one(3) == ("xcom", "/en/1", None, "allow")
     assert one(4) == ("b.net", "/de/8", "net/de/", "allow") and one(5)[2:] == ("example.net/de/8", "block")
