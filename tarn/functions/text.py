@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes from which a token is left out of the index.
 LONG_TOKEN = 40
+#: What stands between tokens: anything but letters, vowel signs and the like (Unicode Alphabetic) and numbers, for Java and here.
 _SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
+_WORDS = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def _col(c: Column | str) -> Column:
@@ -22,11 +25,19 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.filter(parts, lambda t: (t != "") & (F.octet_length(t) < LONG_TOKEN)), F.lower)
 
 
+def words(text: str) -> list[str]:
+    """A text's tokens of any length in order, as they stand."""
+    return _WORDS.findall(text)
+
+
+def ordered_tokens(text: str) -> list[str]:
+    """tokens() of a query string, repeats included; `*` at either end of a word is ignored."""
+    return [t.lower() for t in words(" ".join(strip_wildcards(text))) if len(t.encode()) < LONG_TOKEN]
+
+
 def query_tokens(text: str) -> list[str]:
-    """The same analysis of a query string, in plan order without repeats; `*` at either end of a word is ignored."""
-    words = " ".join(strip_wildcards(text))
-    found = (m for m in re.split(r"[\W_]+", words) if m)
-    return list(dict.fromkeys(t.lower() for t in found if len(t.encode()) < LONG_TOKEN))
+    """ordered_tokens() without repeats."""
+    return list(dict.fromkeys(ordered_tokens(text)))
 
 
 def strip_wildcards(text: str) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import Protocol
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.text import words
+
 CHUNK_BYTES = 1000
 
 
@@ -50,11 +51,11 @@ class HashEmbedder:
         self.__init__(**state)
 
     def embed(self, text: str) -> np.ndarray:
-        words = [w.lower() for w in re.split(r"[\W_]+", text) if w]
-        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        found = [w.lower() for w in words(text)]
+        grams = found + [f"{a} {b}" for a, b in zip(found, found[1:])]
         hashes = np.array([self._hash(g) for g in grams], dtype=np.uint64)
         sign = np.where(hashes >> np.uint64(63) == 0, 1.0, -1.0)
-        weight = np.repeat([1.0, 0.5], [len(words), len(grams) - len(words)])
+        weight = np.repeat([1.0, 0.5], [len(found), len(grams) - len(found)])
         out = np.bincount((hashes % np.uint64(self.dim)).astype(np.int64), sign * weight, self.dim) if len(grams) else np.zeros(self.dim)
         norm = np.sqrt((out * out).sum())
         return (out / norm if norm else out).astype(np.float32)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import query_tokens, tokens
+from tarn.functions.text import ordered_tokens, query_tokens, tokens
 
 K1, B = 1.2, 0.75
 TERM_BUCKETS = 256
@@ -120,11 +120,7 @@ def bm25(tf_mode: str = "binary") -> Column:
 
 
 def phrase(docs: DataFrame, query: str) -> DataFrame:
-    """docs (oid, text) -> oid of texts in which the query's tokens stand in a row."""
-    words = [t for t in query_tokens_in_order(query)]
+    """docs (oid, text) -> oid of texts in which the query's tokens stand in a row, repeats included."""
+    words = ordered_tokens(query)
     padded = F.concat(F.lit(" "), F.array_join(tokens("text"), " "), F.lit(" "))
     return docs.where(F.contains(padded, F.lit(" " + " ".join(words) + " ")) if words else F.lit(False)).select("oid")
-
-
-def query_tokens_in_order(query: str) -> list[str]:
-    return [t for word in query.split() for t in query_tokens(word)]

@@ -285,12 +285,27 @@ def search_modes(spark, sf_dir):
     return lexical.unionByName(e.search("kMDItemFSSize > 5000", "rql", 5).withColumn("mode", F.lit("rql")))
 
 
-@query("snippets", rf"""WITH {_CAT}, a AS (SELECT oid, text, strpos(text, 'that') AS p FROM cat WHERE text = regexp_replace(text, '[^\x00-\x7F]', '', 'g') AND contains(text, 'that'))
-SELECT oid, CAST(greatest(0, p - 61) AS INTEGER) AS start, CAST(least(length(text), p + 139) AS INTEGER) AS "end",
-  trim(regexp_replace(substr(text, CAST(greatest(0, p - 61) + 1 AS INTEGER), CAST(least(length(text), p + 139) - greatest(0, p - 61) AS INTEGER)), '\s+', ' ', 'g')) AS text FROM a""")
+@query("snippets", rf"""WITH {_CAT}, f AS (SELECT oid, text, strpos(text, 'that') AS p, strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'that') AS q FROM cat),
+h AS (SELECT oid, text, CASE WHEN p > 0 THEN p WHEN q > 0 THEN q ELSE 1 END - 1 AS c FROM f),
+b AS (SELECT *, strlen(substr(text, 1, c)) AS off, strlen(text) AS n FROM h),
+w AS (SELECT *, greatest(0, off - 60) AS lo, least(n, off + 140) AS hi FROM b),
+e AS (SELECT oid, text, list_max(list_filter(range(greatest(0, c - 61), c + 1), lambda i: strlen(substr(text, 1, CAST(i AS INTEGER))) <= lo)) AS s0,
+  list_max(list_filter(range(c, c + 142), lambda i: strlen(substr(text, 1, CAST(i AS INTEGER))) <= hi)) AS e0 FROM w)
+SELECT oid, CAST(strlen(substr(text, 1, CAST(s0 AS INTEGER))) AS INTEGER) AS start, CAST(strlen(substr(text, 1, CAST(e0 AS INTEGER))) AS INTEGER) AS "end",
+  trim(regexp_replace(substr(text, CAST(s0 + 1 AS INTEGER), CAST(e0 - s0 AS INTEGER)), '[\s\x0B\x1C-\x1F\x85\xA0\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS text FROM e""")
 def snippets(spark, sf_dir):
-    rows = td.corpus(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7F]") & F.contains("text", F.lit("that")))
-    return rows.select("oid", snippet("text", "that it").alias("s")).select("oid", "s.start", "s.end", "s.text")
+    return td.corpus(spark, sf_dir).select("oid", snippet("text", "that it").alias("s")).select("oid", "s.start", "s.end", "s.text")
+
+
+@query("other_scripts", rf"""WITH {_CAT}, t AS (SELECT oid, 'किताब ' || (oid % 7) || ' ภาษาไทย_कि' || (oid % 3) || ' كِتاب ' AS text FROM cat)
+SELECT oid, 5 + 0 * oid AS n_tokens, (oid % 7 = 3) AS hit FROM t""")
+def other_scripts(spark, sf_dir):
+    """Tokens of texts in scripts with combining vowels, and a search for two of them."""
+    n = lambda k: (F.col("oid") % k).cast("string")
+    docs = td.corpus(spark, sf_dir).select("oid", F.concat(F.lit("किताब "), n(7), F.lit(" ภาษาไทย_कि"), n(3), F.lit(" كِتاب ")).alias("text"))
+    found = LexicalPlane.build(docs).matching(tx.query_tokens("3 *किताब")).withColumn("hit", F.lit(True))
+    rows = docs.select("oid", F.size(tx.tokens("text")).cast("long").alias("n_tokens")).join(found, "oid", "left")
+    return rows.select("oid", "n_tokens", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 # ---------------------------------------------------------------- the fold
@@ -541,7 +556,7 @@ def percent_decode(spark, sf_dir):
     return td.table(spark, sf_dir, "pages").select("page_id", tx.percent_decode(F.concat(F.lit("a%20b%2F"), F.col("page_id").cast("string"))).alias("text"))
 
 
-@query("truncate_bytes")
+@query("truncate_bytes", rf"""WITH {_CAT} SELECT oid, substr(text, 1, CAST(list_max(list_filter(range(0, 102), lambda i: strlen(substr(text, 1, CAST(i AS INTEGER))) <= 101)) AS INTEGER)) AS text FROM cat""")
 def truncate_bytes(spark, sf_dir):
     return td.corpus(spark, sf_dir).select("oid", tx.truncate_bytes("text", 101).alias("text"))
 
@@ -558,10 +573,10 @@ def hash_embedding(spark, sf_dir):
     return chunks.select("oid", "chunk_offset", F.round(dot("vec", F.col("vec")), 4).alias("norm"))
 
 
-@query("vector_normalize", "SELECT vec_id AS oid, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS norm FROM embeddings")
+@query("vector_normalize", "SELECT vec_id AS oid, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) + 0.0 AS first, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) + 0.0 AS last FROM embeddings")
 def vector_normalize(spark, sf_dir):
     vec = normalize(F.transform("vec", lambda x: x * 3))
-    return td.chunks(spark, sf_dir).select("oid", F.round(F.sqrt(dot(vec, vec)), 3).alias("norm"))
+    return td.chunks(spark, sf_dir).select("oid", (F.round(vec[0].cast("double"), 3) + 0.0).alias("first"), (F.round(vec[63].cast("double"), 3) + 0.0).alias("last"))
 
 
 # ---------------------------------------------------------------- metrics

@@ -18,8 +18,9 @@ class JournalError(RuntimeError):
 class Journal:
     """A folder of segments, one folder per append, and one small manifest row each: segment, first, last, batch.
 
-    An append is visible once its manifest row is written, which comes last, so a torn append leaves nothing behind but
-    files that no manifest names. Appends have one writer.
+    An append is visible once its manifest row is written, which comes last. It is written under a name with an underscore, which
+    readers of folders pass over, and renamed when it is whole; what a writer that died in between has left is hidden again by
+    recover(), which each append and stream() begin with. Appends have one writer.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -44,6 +45,7 @@ class Journal:
 
         A batch number that the manifest already has is not appended again. An empty append is an error.
         """
+        self.recover()
         done = self.manifest()
         if batch is not None and (row := done.where(F.col("batch") == batch).select("first", "last").first()):
             return row["first"], row["last"]
@@ -51,10 +53,12 @@ class Journal:
         count = changes.count()
         if not count:
             raise JournalError("empty append")
-        staging = f"{self.root}/staging"
+        staging = f"{self.root}/_staging"
         numbered = _number(changes, base, staging)
         segment = f"segment-{base + 1:020d}-{uuid.uuid4().hex[:8]}"
-        numbered.write.parquet(f"{self.root}/{segment}")
+        numbered.write.parquet(f"{self.root}/_new-{segment}")
+        fs, path = self._fs(f"{self.root}/_new-{segment}")
+        fs.rename(path, self._fs(f"{self.root}/{segment}")[1])
         row = json.dumps({"segment": segment, "first": base + 1, "last": base + count, "batch": batch})
         fs, path = self._fs(staging)
         fs.delete(path, True)
@@ -64,6 +68,19 @@ class Journal:
         out.close()
         return base + 1, base + count
 
+    def recover(self) -> list[str]:
+        """Hides segments that no manifest row names, and returns their names."""
+        fs, path = self._fs(self.root)
+        if not fs.exists(path):
+            return []
+        there = [x.getPath().getName() for x in fs.listStatus(path)]
+        there = [name for name in there if name.startswith("segment-")]
+        named = {r["segment"] for r in self.manifest().select("segment").collect()} if there else set()
+        torn = [name for name in there if name not in named]
+        for name in torn:
+            fs.rename(self._fs(f"{self.root}/{name}")[1], self._fs(f"{self.root}/_torn-{name}")[1])
+        return torn
+
     def read(self, from_lsn: int = 1, to_lsn: int | None = None) -> DataFrame:
         """Records of a range; segments outside it aren't opened."""
         rows = self.manifest().where(F.col("last") >= from_lsn)
@@ -90,19 +107,20 @@ class Journal:
             raise JournalError(f"no segment {segment}")
         filler = paths.select("path").distinct().withColumns({"op": F.lit("remove"), "source": F.lit("repair"), "seq": F.col("path")})
         n = row["last"] - row["first"] + 1
-        filler = _number(filler, row["first"] - 1, f"{self.root}/staging").where(F.col("lsn") <= row["last"])
+        filler = _number(filler, row["first"] - 1, f"{self.root}/_staging").where(F.col("lsn") <= row["last"])
         short = n - filler.count()
         if short > 0:
             pad = self.spark.range(short).select((F.lit(row["last"] - short + 1) + F.col("id")).alias("lsn"), F.lit("remove").alias("op"), F.lit("").alias("path"), F.lit("repair").alias("source"))
             filler = filler.unionByName(pad, allowMissingColumns=True)
         filler = filler.select(*[f.name for f in self.spark.createDataFrame([], JOURNAL).schema])
         fs, path = self._fs(f"{self.root}/{segment}")
-        fs.rename(path, self._fs(f"{self.root}/quarantine-{segment}")[1])
+        fs.rename(path, self._fs(f"{self.root}/_quarantine-{segment}")[1])
         filler.write.parquet(f"{self.root}/{segment}")
         return current.join(paths.select("path").distinct(), "path", "left_semi")
 
     def stream(self) -> DataFrame:
-        """Segments as a stream, in the order of their commits' files."""
+        """Committed segments as a stream, in the order of their commits' files; staged, torn and quarantined ones are hidden."""
+        self.recover()
         return self.spark.readStream.schema(JOURNAL).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.parquet").parquet(self.root)
 
 

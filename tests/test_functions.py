@@ -6,16 +6,25 @@ from tarn.functions.vectors import HashEmbedder, chunk, dot, embed_chunks, fnv1a
 from tarn.operators import metrics
 from tarn.schema import clamp
 
-VOCABULARY = (
-    "quarterly invoice foo-bar o'brien state-of-the-art CI/CD C++ don't naïve ignite_thrusters report.pdf UPPER MiXeD a "
-    "ünïcödé-wörd supercalifragilisticexpialidocious-and-then-some-more-length 42 v1.2.3 e2e"
-)
+WORDS = (
+    "ledger north-by-northwest l'été I/O F# ΑΣ ÉCLAIR İzmir ǅungla read_me.txt 7½ x86-64 ٣٤ किताबें ภาษาไทย كِتابٌ तमिழ் 漢字かな ﬁn a\u0301b "
+    "nevertheless-an-unreasonably-drawn-out-compound zero\u200bwidth q\u00adr 𝒳𝒴 Ⅻ"
+).split(" ")
 
 
 def test_query_and_index_agree_on_tokens(spark):
-    rows = spark.createDataFrame([(w,) for w in [*VOCABULARY.split(), "x" * 39, "x" * 40, "é" * 20, "_ _", ""]], "t string")
+    rows = spark.createDataFrame([(w,) for w in [*WORDS, "y" * 39, "y" * 40, "ü" * 20, "__ -", ""]], "t string")
     for r in rows.select("t", tx.tokens("t").alias("k")).collect():
-        assert list(dict.fromkeys(r["k"])) == tx.query_tokens(r["t"])
+        assert r["k"] == tx.ordered_tokens(r["t"]), r["t"]
+    assert tx.ordered_tokens("किताब") == ["किताब"] and tx.ordered_tokens("tick-tock tick") == ["tick", "tock", "tick"]
+
+
+def test_phrases_keep_repeats(spark):
+    from tarn.operators.lexical import phrase
+
+    docs = spark.createDataFrame([(1, "so long, so-long farewell"), (2, "so long farewell"), (3, "किताब की किताब")], "oid long, text string")
+    found = lambda q: sorted(r["oid"] for r in phrase(docs, q).collect())
+    assert found("so-long so long") == [1] and found("long farewell") == [1, 2] and found("किताब की") == [3] and found("") == []
 
 
 def test_wildcards_are_stripped():

@@ -81,7 +81,7 @@ def test_resync(spark):
 
 def test_search_and_alerts(spark):
     docs = spark.createDataFrame(
-        [(1, "/c/billing.txt", "invoice payment terms net sixty billing"), (2, "/c/engine.txt", "flux capacitor thrusters"), (3, "/d/recipe.txt", "flour butter sugar"), (4, "/d/empty.txt", "...")],
+        [(1, "/c/harbour.txt", "ferry timetable for winter crossings harbour"), (2, "/c/orchard.txt", "pear grafting ladders"), (3, "/d/telescope.txt", "mirror lens tripod"), (4, "/d/empty.txt", "...")],
         "oid long, path string, text string",
     )
     catalog = docs.select("oid", F.lit("file").alias("kind"), F.length("text").cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), F.lit(None).cast("string").alias("index_state"), F.array("path").alias("entry_paths"))
@@ -90,15 +90,15 @@ def test_search_and_alerts(spark):
     engine = Engine(docs.select("path", "oid", F.col("oid").alias("attach_lsn")), catalog, content, LexicalPlane.build(content), VectorPlane(embed_chunks(content, embedder), embedder))
     assert engine.vectors.chunks.count() == 3
     first = lambda df: df.first()["path"]
-    assert first(engine.query('semantic("invoice payment terms")')) == "/c/billing.txt" and first(engine.query('"flux"')) == "/c/engine.txt"
-    top = engine.hybrid("invoice payment", 3).collect()
-    assert top[0]["provenance"] == "both" and top[0]["path"] == "/c/billing.txt" and {r["provenance"] for r in top[1:]} == {"meaning"}
-    assert engine.hybrid("flour", 5, scope=Scope.of("/c")).where("path LIKE '/d%'").count() == 0
+    assert first(engine.query('semantic("ferry timetable for")')) == "/c/harbour.txt" and first(engine.query('"pear"')) == "/c/orchard.txt"
+    top = engine.hybrid("ferry timetable", 3).collect()
+    assert top[0]["provenance"] == "both" and top[0]["path"] == "/c/harbour.txt" and {r["provenance"] for r in top[1:]} == {"meaning"}
+    assert engine.hybrid("mirror", 5, scope=Scope.of("/c")).where("path LIKE '/d%'").count() == 0
     assert engine.query('kRSDSymbols == "main" && kMDItemFSSize > 0').count() == 4
-    assert engine.count('"flux" || "flour"').first()["n"] == 2 and engine.search("", "lexical").count() == 0
-    assert first(engine.search('"flour"', "anything")) == "/d/recipe.txt" and first(engine.search("sugar butter", "hybrid")) == "/d/recipe.txt"
-    assert engine.snippets("CAPACITOR", 1).first()["text"] == "flux capacitor thrusters"
-    view = engine.alert("a", "invoice payment terms billing", 0.3)
+    assert engine.count('"pear" || "mirror"').first()["n"] == 2 and engine.search("", "lexical").count() == 0
+    assert first(engine.search('"mirror"', "anything")) == "/d/telescope.txt" and first(engine.search("tripod lens", "hybrid")) == "/d/telescope.txt"
+    assert engine.snippets("GRAFTING", 1).first()["text"] == "pear grafting ladders"
+    view = engine.alert("a", "ferry timetable winter harbour", 0.25)
     rows = docs.select(F.col("oid").alias("lsn"), "path", F.lit(None).cast("long").alias("old_oid"), F.col("oid").alias("new_oid"), F.lit("file").alias("kind"), "text")
     assert [r["oid"] for r in live.events(live.observations(rows, [view])).collect()] == [1]
 
