@@ -255,6 +255,69 @@ def test_held_out_rows_are_never_learned_from(spark):
     assert sum(len(t) for t in labelled_sample(table(spark, rows), labels, "quality", fold(4) != 2, 30, 100).texts) <= 100
 
 
+def test_quality_scores_against_plain_sizes():
+    import math
+
+    import zstandard
+
+    rng = random.Random(31)
+    words = [f"{a}{b}" for a in "th an re on er".split() for b in "ing tion ed ly ble".split()]
+    good = [sentences(rng, words, rng.randrange(1, 40)) for _ in range(120)]
+    bad = [" ".join(w.upper() + "###" for w in t.split()) for t in good[:60]]
+    model = quality.fit(Sample(good + bad, [1] * 120 + [0] * 60, (600, 1200)))
+    assert abs(model.prior - 1200.5 / 1801) < 1e-12
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+    a, b, c = model.weights
+    for text in (good[0], bad[0], "x", "é" * 3000, good[1] * 20):
+        raw = text.encode()
+        blocks = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        gain = sum(size(x, model.bad) - size(x, model.good) for x in blocks) / len(raw)
+        w = len(raw) / (len(raw) + 256)
+        assert math.isclose(model.score(text), 1 / (1 + math.exp(-max(-40, min(40, a * w * gain + b * w + c)))), rel_tol=1e-9)
+    assert a > 0 and min(model.score(t) for t in good) > max(model.score(t) for t in bad)
+
+
+def test_long_texts_are_skipped_alone_and_repeats_settled(spark):
+    rows = [(i, "long " * 2000 if i % 5 == 0 else f"text {i}") for i in range(100)] + [(1, "a text"), (1, "text 1")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    texts = [sorted(labelled_sample(table(spark, rows, n), labels, "quality", F.lit(True), 40, 20_000).texts) for n in (1, 5)]
+    assert texts[0] == texts[1] and len(texts[0]) >= 60 and "a text" in texts[0] + ["a text"] and not any(t.startswith("long") for t in texts[0])
+
+
+def test_toxicity_against_plain_noisy_or():
+    import math
+
+    rng = random.Random(32)
+    words = [f"{a}{b}" for a in "th an re on er".split() for b in "ing tion ed ly ble".split()]
+    texts = [sentences(rng, words) for _ in range(90)]
+    labels = [int(i % 3 == 0) for i in range(90)]
+    texts = [t + " You awful person." if y else t for t, y in zip(texts, labels)]
+    model = toxicity.fit(Sample(texts, labels, (60, 30)))
+
+    def score(text, weights):
+        stay = 1.0
+        for s in re.findall(r"[^.!?\n]+", text.lower()):
+            known = {f for w in re.findall(r"[^\W\d_]+", s) for f in (w, w[:4] + "*", w[:5] + "*")}
+            stay *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weights.get(f, 0.0) for f in known))))
+        return 1 - stay
+
+    def loss(weights):
+        p = [min(max(score(t, weights), 1e-9), 1 - 1e-9) for t in texts]
+        return -sum(math.log(q if y else 1 - q) for q, y in zip(p, labels))
+
+    for t in texts[:20]:
+        assert math.isclose(model.score(t), score(t, model.weights), rel_tol=1e-6, abs_tol=1e-9)
+    best, top = loss(model.weights), sorted(model.weights, key=lambda f: -abs(model.weights[f]))[:4]
+    assert best < 0.05 * loss({}) and all(loss(model.weights | {f: model.weights[f] - 6}) > best for f in top if model.weights[f] > 0)
+
+
+def test_empty_tables_of_free_operators(spark):
+    none, bench = table(spark, []), spark.createDataFrame(ITEMS, "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert simhash.near_duplicates(none).count() == 0 and decontaminate.find_items(none, bench).count() == 0
+    assert quality.keep_documents(none, labels).count() == 0 and toxicity.toxicity_scores(none, toxicity.train(none, labels)).count() == 0
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     words = [f"{a}{b}" for a in "th an re on er".split() for b in "ing tion ed ly ble".split()]
