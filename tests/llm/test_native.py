@@ -194,6 +194,13 @@ def test_secrets(spark):
         assert r["spans"] == join(spans + entropy_spans(text)), i
 
 
+def test_many_matches_in_one_text(spark):
+    text = "é " + " ".join(f"token=abcdef{i}" + "x" * (i % 5) for i in range(16_000))
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdef1"), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["at"], s["end"]) for s in r["secrets"] if s["kind"] == 0] for r in secrets.find_secrets(docs).collect()}
+    assert got[1] == _assign(text) and len(got[1]) == 16_000 and got[2] == [(0, 13)] and got[3] == []
+
+
 def _assign(text):
     keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     pattern = rf"""({keyword})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
