@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Makes Spark remove the shuffle files of a query on all executors when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: What is to be deleted: path -> session, and the name under which a bucketed table is in the session's catalog.
 _written: dict[str, tuple[SparkSession, str | None]] = {}
 
@@ -24,11 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def _no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it is written, as nothing reads them again; Spark would keep them until
+    the driver collects garbage. While a query runs they stay, so a lost executor costs its tasks only."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _no_leftovers(spark):
+        df.write.parquet(path)
     _written[path] = spark, None
     out = spark.read.schema(df.schema).parquet(path)
     out._tarn_path = path
@@ -42,7 +62,8 @@ def cut_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tarn-{name}-{run}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tarn_{name.replace('-', '_')}_{run}"
-    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
+    with _no_leftovers(spark):
+        df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(table)
     _written[path] = spark, table
     out = spark.table(table)
     out._tarn_path = path
