@@ -20,7 +20,8 @@ class Journal:
 
     An append is visible once its manifest row is written, which comes last. It is written under a name with an underscore, which
     readers of folders pass over, and renamed when it is whole; what a writer that died in between has left is hidden again by
-    recover(), which each append and stream() begin with. Appends have one writer.
+    recover(), which each append and stream() begin with. Appends have one writer. The distinct paths of a segment are kept beside it
+    in a table of their own, so that a segment that can't be read any more still tells which paths to look at again.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -57,6 +58,8 @@ class Journal:
         numbered = _number(changes, base, staging)
         segment = f"segment-{base + 1:020d}-{uuid.uuid4().hex[:8]}"
         numbered.write.parquet(f"{self.root}/_new-{segment}")
+        written = self.spark.read.schema(JOURNAL).parquet(f"{self.root}/_new-{segment}")
+        written.select("path").distinct().write.parquet(f"{self.root}/_paths-{segment}")
         fs, path = self._fs(f"{self.root}/_new-{segment}")
         fs.rename(path, self._fs(f"{self.root}/{segment}")[1])
         row = json.dumps({"segment": segment, "first": base + 1, "last": base + count, "batch": batch})
@@ -99,12 +102,18 @@ class Journal:
         edges = self.manifest().select("first", "last").withColumn("prev", F.lag("last", 1, 0).over(Window.orderBy("first")))
         return edges.where("first <> prev + 1").select(F.col("prev").alias("lsn"))
 
-    def quarantine(self, segment: str, paths: DataFrame, current: DataFrame) -> DataFrame:
-        """Drops a corrupt segment, fills its numbers with removals of the paths it may have named, and returns what must be
-        appended to bring those paths up to date: their present state, nothing for those that are gone."""
+    def paths(self, segment: str) -> DataFrame:
+        """The distinct paths that a segment was written with; the segment itself isn't opened."""
+        return self.spark.read.schema("path string").parquet(f"{self.root}/_paths-{segment}")
+
+    def quarantine(self, segment: str, paths: DataFrame | None, current: DataFrame) -> DataFrame:
+        """Drops a corrupt segment, fills its numbers with removals of the paths it named (those kept at its append, unless others
+        are given), and returns what must be appended to bring those paths up to date: their present state, nothing for those
+        that are gone."""
         row = self.manifest().where(F.col("segment") == segment).first()
         if row is None:
             raise JournalError(f"no segment {segment}")
+        paths = self.paths(segment) if paths is None else paths
         filler = paths.select("path").distinct().withColumns({"op": F.lit("remove"), "source": F.lit("repair"), "seq": F.col("path")})
         n = row["last"] - row["first"] + 1
         filler = _number(filler, row["first"] - 1, f"{self.root}/_staging").where(F.col("lsn") <= row["last"])

@@ -87,6 +87,22 @@ def test_journal(spark, tmp_path):
     assert cursor.get() == 42
 
 
+def test_repair_knows_the_paths_of_an_unreadable_segment(spark, tmp_path):
+    journal = Journal(spark, str(tmp_path / "j"))
+    rows = lambda *paths: spark.createDataFrame([(i, "upsert", p, "test") for i, p in enumerate(paths)], "seq long, op string, path string, source string")
+    journal.append(rows("/a", "/b", "/a"))
+    journal.append(rows("/c"))
+    segment = journal.manifest().where("first = 1").first()["segment"]
+    for part in (tmp_path / "j" / segment).glob("part-*"):
+        part.write_bytes(b"not a table")
+    assert {r["path"] for r in journal.paths(segment).collect()} == {"/a", "/b"}
+    again = journal.quarantine(segment, None, rows("/a", "/c", "/d"))
+    assert [r["path"] for r in again.collect()] == ["/a"]
+    found = [(r["lsn"], r["op"], r["path"]) for r in journal.replay().collect()]
+    assert [x[:2] for x in found] == [(1, "remove"), (2, "remove"), (3, "remove"), (4, "upsert")]
+    assert {p for _, op, p in found if op == "remove"} >= {"/a", "/b"} and journal.gaps().count() == 0
+
+
 def test_content_store(spark):
     kind = "content_hash string, extractor_id string, extractor_version int, hints_hash string, abi_version int"
     key = lambda h, v=1: (h, "native", v, "x", 1)
