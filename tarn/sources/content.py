@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +64,26 @@ def quarantine(records: DataFrame, failures: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("n") >= MAX_FAILURES, "quarantined").otherwise(F.col("status"))).drop("n")
 
 
+def index(
+    files: DataFrame, known: DataFrame, store: DataFrame, extract: Callable[[DataFrame], DataFrame], failed: Sequence[str] = ("corrupt",)
+) -> tuple[DataFrame, DataFrame]:
+    """One round of indexing: the gate, a lookup, extraction of what is missing, and the records put into the store.
+
+    files: path, size, mtime_ns, the content key and what extract needs; known: see gate(); store: the content key, `failures`
+    and what extract returns besides the key, `status` included. Returns the files that the gate lets through and the store
+    afterwards; write that one, then lookup() gives each file its record. A record is reused unless its last attempt failed
+    (a status of `failed`); attempts are counted in the store, and at MAX_FAILURES the status is quarantined for good. A
+    content is extracted once, however many files have it.
+    """
+    due = gate(files, known).where("action = 'index'").drop("action")
+    settled = store.where((F.coalesce("failures", F.lit(0)) == 0) | (F.col("failures") >= MAX_FAILURES))
+    found = extract(misses(due, settled)).join(store.select(*CONTENT_KEY, F.col("failures").alias("_before")), CONTENT_KEY, "left")
+    again = F.coalesce("_before", F.lit(0)) + 1
+    found = found.withColumn("failures", F.when(F.col("status").isin(*failed), again).otherwise(0).cast("int")).drop("_before")
+    stop = F.col("failures") >= MAX_FAILURES
+    return due, put(store, found.withColumn("status", F.when(stop, "quarantined").otherwise(F.col("status"))))
+
+
 def still_current(changes: DataFrame, stats: DataFrame) -> DataFrame:
     """Content changes whose file still has the size, mtime and identity it had when it was read."""
     keys = ["path", "size", "mtime_ns", "dev", "ino", "birthtime_ns"]

@@ -116,6 +116,31 @@ def test_content_store(spark):
     assert content.lookup(wanted, store).where("text IS NULL").count() == 3
 
 
+def test_indexing_round(spark, tmp_path):
+    key = lambda h: (h, "native", 1, "x", 1)
+    kind = "content_hash string, extractor_id string, extractor_version int, hints_hash string, abi_version int"
+    names = [x.split()[0] for x in kind.split(", ")]
+    rows = [("/same", 1, 5, *key("held")), ("/changed", 2, 9, *key("held")), ("/x", 1, 1, *key("new")), ("/y", 1, 1, *key("new")), ("/z", 1, 1, *key("bad"))]
+    files = spark.createDataFrame(rows, f"path string, size long, mtime_ns long, {kind}")
+    known = spark.createDataFrame([("/same", 1, 5, "indexed"), ("/changed", 1, 5, "indexed")], "path string, size long, mtime_ns long, index_state string")
+    store = spark.createDataFrame([(*key("held"), "ok", 0)], f"{kind}, status string, failures int")
+    seen = []
+
+    def extract(todo):
+        seen.append(sorted(r["content_hash"] for r in todo.collect()))
+        return todo.selectExpr(*names, "if(content_hash = 'bad', 'corrupt', 'ok') AS status")
+
+    for n in range(1, 5):
+        due, after = content.index(files, known, store, extract)
+        after.write.parquet(str(tmp_path / str(n)))
+        store = spark.read.parquet(str(tmp_path / str(n)))
+        bad = store.where("content_hash = 'bad'").first()
+        assert (bad["failures"], bad["status"]) == (min(n, 3), "corrupt" if n < 3 else "quarantined")
+    assert seen == [["bad", "new"], ["bad"], ["bad"], []]
+    got = {r["path"]: r["status"] for r in content.lookup(due, store).collect()}
+    assert got == {"/changed": "ok", "/x": "ok", "/y": "ok", "/z": "quarantined"}
+
+
 def test_listing_and_reconciliation(spark, tmp_path):
     root = tmp_path / "r"
     for p in ("a/one.txt", "a/b/two.txt", "a/node_modules/no.txt", "c/three.txt"):
