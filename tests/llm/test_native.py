@@ -300,3 +300,11 @@ def test_line_fingerprints_of_all_widths(spark):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in bodies[r["line_id"]].split(" ")]
         want = sum(1 << k for k in range(64) if sum(x >> k & 1 for x in h) * 2 > len(h))
         assert r["fp"] % (1 << 64) == want
+
+
+def test_long_lines_without_blanks_and_beyond_two_byte_characters(spark):
+    word = "".join(chr(97 + i * i % 23 + i // 1000 % 3) for i in range(300_000))
+    wide = "".join(chr(0x1F300 + i * 7 % 500) for i in range(400))
+    rows = [(1, word), (2, word[:150_000] + "##" + word[150_000:]), (3, wide), (4, wide[:90] + "é" + wide[95:]), (5, wide[::-1])]
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
