@@ -58,10 +58,11 @@ def main() -> None:
     e.vectors.chunks = e.vectors.chunks.cache()
     timed(lambda: e.semantic(vec, 100))
     seconds["warm_semantic_top100"] = round(median(timed(lambda: e.semantic(vec, 100)) for _ in range(5)), 3)
-    # throughput: 500 term queries in one job over the warm postings
-    terms = e.lexical.postings.groupBy("term").count().orderBy(F.desc("count"), "term").limit(500).select("term")
+    # throughput: the BM25 top 100 of each of 500 term queries, in one job over the warm postings
+    terms = e.lexical.postings.groupBy("term").count().orderBy(F.desc("count"), "term").limit(500).select(F.col("term").alias("query"), "term")
+    n_queries = terms.count()
     began = time.perf_counter()
-    hits = e.lexical.postings.join(F.broadcast(terms), "term").groupBy("term").agg(F.max(F.struct("tf", "oid"))).count()
+    e.lexical.top_each(terms, 100).write.format("noop").mode("overwrite").save()
     batch = time.perf_counter() - began
     seconds["batch_500_term_queries"] = round(batch, 3)
     print(
@@ -73,7 +74,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "cpus": int(cpus),
-                "batch_queries_per_sec": round(hits / batch, 1),
+                "batch_queries_per_sec": round(n_queries / batch, 1),
             }
         )
     )

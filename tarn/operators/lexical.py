@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import ordered_tokens, query_tokens, tokens
@@ -112,6 +112,23 @@ class LexicalPlane:
         """The best documents, ties by oid; the scope is applied before the limit."""
         return self.scores(query_tokens(query), tf_mode, allowed).orderBy(F.desc("score"), "oid").limit(max(limit, 1))
 
+    def top_each(self, queries: DataFrame, limit: int, tf_mode: str = "binary") -> DataFrame:
+        """query, oid, score: the best documents of each of many queries in one job, as top() ranks them.
+
+        queries (query, term) has a row for each term of a query. Ranks are cut to the limit on the map side first, so a query
+        that most documents match sends no more than that many rows from a task."""
+        asked = queries.select("query", "term").distinct()
+        need = asked.groupBy("query").agg(F.count("*").alias("terms"))
+        rows = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        df = rows.groupBy("term").agg(F.count("*").alias("df"))
+        every = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+        rows = rows.join(df, "term").crossJoin(F.broadcast(every))  # one row
+        rows = rows.select("term", "oid", bm25(tf_mode).alias("part")).join(asked, "term")
+        found = rows.groupBy("query", "oid").agg(F.count("*").alias("n"), F.round(F.sum("part"), 6).alias("score"))
+        found = found.join(need, "query").where(F.col("n") == F.col("terms"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "oid"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= max(limit, 1)).select("query", "oid", "score")
+
 
 def bm25(tf_mode: str = "binary") -> Column:
     tf = F.lit(1.0) if tf_mode == "binary" else F.col("tf").cast("double")

@@ -17,6 +17,7 @@ from tarn.operators.vector import VectorPlane
 from tarn.plans.compiler import compile_expr, plan_label, row_bind
 from tarn.plans.rql import parse
 from tarn.plans.scope import Scope, effective
+from tarn.schema import HYBRID_DEPTH
 from tarn.sources import content as caes
 from tarn.sources import extract, filesystem
 from tarn.sources import testdata as td
@@ -214,6 +215,15 @@ def bm25_scoped(spark, sf_dir):
     return engine(spark, sf_dir).search_text("that", 10, Scope.of("/corpus/src1")).select("oid", "score")
 
 
+_BATCH = {"a": ["that"], "b": ["that", "with"], "c": ["from", "this"], "d": ["nowhereatall"]}
+
+
+@query("bm25_batch", f"WITH {_CAT}, {_TOK}, {_BM25} " + " UNION ALL ".join(f"SELECT '{q}' AS query, * FROM ({_bm25_sql(t, 100)})" for q, t in _BATCH.items()))
+def bm25_batch(spark, sf_dir):
+    asked = spark.createDataFrame([(q, t) for q, terms in _BATCH.items() for t in terms], "query string, term string")
+    return engine(spark, sf_dir).lexical.top_each(asked, 100)
+
+
 @query("postings", f"WITH {_CAT}, {_TOK} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT oid, term, count(*) AS tf FROM tok GROUP BY oid, term) GROUP BY term")
 def postings(spark, sf_dir):
     plane = LexicalPlane.build(td.corpus(spark, sf_dir).select("oid", "text"))
@@ -270,19 +280,24 @@ def hybrid_rrf_tagged(spark, sf_dir):
     return vector.fuse(e.lexical.top("that", 50), e.vectors.top(probe_vector(spark, sf_dir), 50), 20)
 
 
-@query("hybrid_engine")
+@query("hybrid_engine", f"""WITH {_CAT}, {_TOK}, {_BM25}, {_VEC},
+lx AS (SELECT oid, row_number() OVER (ORDER BY score DESC, oid) - 1 AS r FROM ({_bm25_sql(['that', 'with'], HYBRID_DEPTH, where=_src('src1'))})),
+sx AS (SELECT oid, row_number() OVER (ORDER BY score DESC, oid) - 1 AS r FROM (SELECT sim.oid, score FROM sim JOIN cat ON sim.oid = cat.oid WHERE {_src('src1')} ORDER BY score DESC, sim.oid LIMIT {HYBRID_DEPTH})),
+f AS (SELECT coalesce(lx.oid, sx.oid) AS oid, round(coalesce(1.0::DOUBLE / (60 + lx.r), 0) + coalesce(1.0::DOUBLE / (60 + sx.r), 0), 9) AS score,
+  CASE WHEN lx.oid IS NOT NULL AND sx.oid IS NOT NULL THEN 'both' WHEN lx.oid IS NOT NULL THEN 'exact' ELSE 'meaning' END AS provenance
+  FROM lx FULL JOIN sx ON lx.oid = sx.oid ORDER BY score DESC, oid LIMIT 20)
+SELECT f.oid, score, provenance, path FROM f JOIN cat ON f.oid = cat.oid""")
 def hybrid_engine(spark, sf_dir):
-    rows = td.corpus(spark, sf_dir)
-    content = td.content(rows)
-    plane = VectorPlane(embed_chunks(content, HashEmbedder()), HashEmbedder())
-    return Engine(td.entries(rows), td.objects(rows), content, LexicalPlane.build(content), plane).hybrid("that with", 20)
+    found = engine(spark, sf_dir).hybrid("that with", 20, "/corpus/src1", vector_query=probe_vector(spark, sf_dir))
+    return found.select("oid", "score", "provenance", "path")
 
 
-@query("search_modes")
+@query("search_modes", f"""WITH {_CAT}, {_TOK}, {_BM25} SELECT t.oid, path, 'lexical' AS mode FROM ({_bm25_sql(['that', 'with'], 5)}) t JOIN cat ON t.oid = cat.oid
+UNION ALL SELECT * FROM (SELECT oid, path, 'rql' AS mode FROM cat WHERE size > 1500 ORDER BY path LIMIT 5)""")
 def search_modes(spark, sf_dir):
     e = engine(spark, sf_dir)
     lexical = e.search('"that" with', "lexical", 5).withColumn("mode", F.lit("lexical"))
-    return lexical.unionByName(e.search("kMDItemFSSize > 5000", "rql", 5).withColumn("mode", F.lit("rql")))
+    return lexical.unionByName(e.search("kMDItemFSSize > 1500", "rql", 5).withColumn("mode", F.lit("rql")))
 
 
 @query("snippets", rf"""WITH {_CAT}, f AS (SELECT oid, text, strpos(text, 'that') AS p, strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'that') AS q FROM cat),
@@ -352,10 +367,17 @@ def journal_deltas(spark, sf_dir):
     return catalog.deltas(td.journal(spark, sf_dir), 500).select("lsn", "path", "old_oid", "new_oid", "size")
 
 
-@query("journal_invariants", "SELECT '' AS rule, CAST(0 AS BIGINT) AS n WHERE false")
+_EARLIER = _JOURNAL.replace("FROM events)", "FROM events WHERE event_id < 600)")
+
+
+@query("journal_invariants", f"""WITH now AS (WITH {_JOURNAL} SELECT oid, path FROM ent), old AS (WITH {_EARLIER} SELECT oid, path FROM ent)
+SELECT * FROM (SELECT 'listed path maps elsewhere' AS rule, count(*) AS n FROM (FROM now EXCEPT FROM old) UNION ALL SELECT 'entry not listed', count(*) FROM (FROM old EXCEPT FROM now)) WHERE n > 0""")
 def journal_invariants(spark, sf_dir):
+    """None broken by the fold itself; and those that entries of an earlier state break beside the present objects."""
     j = td.journal(spark, sf_dir)
-    return catalog.invariant_violations(catalog.objects(j), catalog.entries(j))
+    now = catalog.objects(j)
+    sound = catalog.invariant_violations(now, catalog.entries(j))
+    return sound.unionByName(catalog.invariant_violations(now, catalog.entries(catalog.as_of(j, 600))))
 
 
 @query("orphan_scan", f"WITH {_JOURNAL} SELECT att.oid FROM att WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.oid = att.oid) AND (SELECT max(nxt_wall) FROM pc WHERE pc.oid = att.oid) <= 1706572800000000000 - 10000000000")
@@ -368,7 +390,7 @@ def orphan_sweep(spark, sf_dir):
     return catalog.sweep(catalog.objects(td.journal(spark, sf_dir)), 1_706_572_800_000_000_000, 10_000_000_000).select("oid")
 
 
-@query("as_of", f"WITH {_JOURNAL.replace('FROM events)', 'FROM events WHERE event_id < 600)')} SELECT path, oid, attach AS attach_lsn FROM ent")
+@query("as_of", f"WITH {_EARLIER} SELECT path, oid, attach AS attach_lsn FROM ent")
 def as_of(spark, sf_dir):
     return catalog.entries(catalog.as_of(td.journal(spark, sf_dir), 600))
 
@@ -427,9 +449,16 @@ def _view_rows(deltas: DataFrame) -> DataFrame:
     return deltas.withColumns({"index_state": none, "text": none, "symbols": F.lit(None).cast("array<struct<name:string,kind:string,line:int>>")})
 
 
-@query("live_resync", "SELECT 'big' AS view_id, 'resync' AS event")
+@query("live_resync", f"""WITH {_JOURNAL}, {_DELTA}, obs AS (SELECT v, b.lsn, b.path, coalesce(new_oid, old_oid) AS oid, new_oid IS NOT NULL AND u.ino + 100 >= 150 AS m
+  FROM b LEFT JOIN u ON b.lsn = u.lsn, (VALUES ('all'), ('one'), ('two')) AS t(v) WHERE coalesce(new_oid, old_oid) IS NOT NULL AND (v = 'all' OR (v = 'one' AND b.path = '/ev/u1.dat') OR (v = 'two' AND b.path IN ('/ev/u2.dat', '/ev/u3.dat')))),
+w AS (SELECT *, lag(m, 1, false) OVER (PARTITION BY v, oid ORDER BY lsn) AS was FROM obs),
+c AS (SELECT v, oid, lsn, CASE WHEN m THEN 'enter' ELSE 'leave' END AS event, count(*) OVER (PARTITION BY v) AS n FROM w WHERE m <> was)
+SELECT v AS view_id, oid, lsn, event FROM c WHERE n <= 16 UNION ALL SELECT DISTINCT v, NULL::BIGINT, NULL::BIGINT, 'resync' FROM c WHERE n > 16""")
 def live_resync(spark, sf_dir):
-    return live.deliver(live_enter_leave(spark, sf_dir), 16).select("view_id", "event")
+    of = lambda id, *scopes: live.View.of(id, "kMDItemFSSize >= 150", *([Scope.of(*scopes)] if scopes else []))
+    views = [of("all"), of("one", "/ev/u1.dat"), of("two", "/ev/u2.dat", "/ev/u3.dat")]
+    deltas = _view_rows(catalog.deltas(td.journal(spark, sf_dir)))
+    return live.deliver(live.events(live.observations(deltas, views)), 16).select("view_id", "oid", "lsn", "event")
 
 
 # ---------------------------------------------------------------- ingest
@@ -459,10 +488,17 @@ def coalesce_capped(spark, sf_dir):
     return coalesce.work_items(_bursts(spark, sf_dir), 600_000, 900_000).drop("due_ms")
 
 
-@query("overflow_collapse", "SELECT '/ev' AS path, 1 AS kind UNION ALL SELECT '/ev/' || (100 + i) || '.dat', 0 FROM range(40) t(i)")
+@query("overflow_collapse", """WITH w AS (SELECT '/ev/u' || (user_id % 20) || '/' || (event_id % 50) || '.dat' AS path, '/ev/u' || (user_id % 20) AS folder,
+  CASE WHEN event_type = 'signup' THEN 2 ELSE 0 END AS kind, user_id % 20 = 3 AS known FROM events),
+k AS (SELECT DISTINCT path FROM w WHERE NOT known ORDER BY path LIMIT 40),
+o AS (SELECT CASE WHEN over THEN folder ELSE path END AS path, CASE WHEN over THEN greatest(kind, 1) ELSE kind END AS kind
+  FROM (SELECT *, NOT known AND path NOT IN (FROM k) AS over FROM w))
+SELECT path, CAST(max(kind) AS INTEGER) AS kind FROM o GROUP BY path""")
 def overflow_collapse(spark, sf_dir):
-    ids = spark.range(100, 200)
-    work = ids.select(F.concat(F.lit("/ev/"), F.col("id").cast("string"), F.lit(".dat")).alias("path"), F.lit(0).alias("kind"), F.lit(False).alias("known"))
+    events = td.table(spark, sf_dir, "events")
+    user, file = (F.col("user_id") % 20).cast("string"), (F.col("event_id") % 50).cast("string")
+    kind = F.when(F.col("event_type") == "signup", 2).otherwise(0)
+    work = events.select(F.concat(F.lit("/ev/u"), user, F.lit("/"), file, F.lit(".dat")).alias("path"), kind.alias("kind"), (user == "3").alias("known"))
     return coalesce.collapse(work, 10, 50)
 
 
@@ -551,9 +587,11 @@ def subtitle_strip(spark, sf_dir):
     return td.table(spark, sf_dir, "pages").select("page_id", tx.strip_subtitles(srt).alias("text"))
 
 
-@query("percent_decode", "SELECT page_id, 'a b/' || page_id AS text FROM pages")
+@query("percent_decode", f"WITH {_CAT} SELECT oid, content_hash AS text_hash FROM cat")
 def percent_decode(spark, sf_dir):
-    return td.table(spark, sf_dir, "pages").select("page_id", tx.percent_decode(F.concat(F.lit("a%20b%2F"), F.col("page_id").cast("string"))).alias("text"))
+    """Whole texts, percent-encoded and back."""
+    encoded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    return td.corpus(spark, sf_dir).select("oid", F.sha2(tx.percent_decode(encoded), 256).alias("text_hash"))
 
 
 @query("truncate_bytes", rf"""WITH {_CAT} SELECT oid, substr(text, 1, CAST(list_max(list_filter(range(0, 102), lambda i: strlen(substr(text, 1, CAST(i AS INTEGER))) <= 101)) AS INTEGER)) AS text FROM cat""")
