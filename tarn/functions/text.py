@@ -82,7 +82,8 @@ def ancestors(path: Column | str) -> Column:
 
 
 def percent_decode(text: Column | str) -> Column:
-    return F.try_url_decode(_col(text))
+    """%XX as bytes, + as a blank; a % without two hexadecimal digits stands for itself."""
+    return F.try_url_decode(F.regexp_replace(_col(text), "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def strip_subtitles(text: Column | str) -> Column:

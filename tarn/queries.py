@@ -587,10 +587,10 @@ def subtitle_strip(spark, sf_dir):
     return td.table(spark, sf_dir, "pages").select("page_id", tx.strip_subtitles(srt).alias("text"))
 
 
-@query("percent_decode", f"WITH {_CAT} SELECT oid, content_hash AS text_hash FROM cat")
+@query("percent_decode", f"WITH {_CAT} SELECT oid, sha256(text || ' %ZZ%4') AS text_hash FROM cat")
 def percent_decode(spark, sf_dir):
-    """Whole texts, percent-encoded and back."""
-    encoded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
+    """Whole texts, percent-encoded and back, with broken escapes behind them."""
+    encoded = F.concat(F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20")), F.lit("+%ZZ%4"))
     return td.corpus(spark, sf_dir).select("oid", F.sha2(tx.percent_decode(encoded), 256).alias("text_hash"))
 
 
