@@ -19,9 +19,12 @@ MATCH = 50
 GRAM = 24
 SPAN = MATCH - GRAM + 1
 #: Bytes of text that are packed, and so searched for repeats of their own, together.
-PACK_BYTES = 4 << 20
+PACK_BYTES = 8 << 20
+#: Bytes of text for each bucket. Every pack sends a row to nearly every bucket, so rows are (bytes / PACK_BYTES) * (bytes /
+#: BUCKET_BYTES): with small packs and buckets their handling, not their contents, takes the time of large tables.
+BUCKET_BYTES = 8 << 20
 #: Positions whose hashes are in memory at once.
-CHUNK = 1 << 17
+CHUNK = 1 << 14
 #: Suffixes that are sorted together, beyond those of one anchor.
 SORT_STARTS = 1 << 16
 _PLACE = np.uint64((1 << 18) - 1)
@@ -44,8 +47,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = zstandard.ZstdCompressor(level=1).compress(raw)
         known = np.array([_LAST if i is None else i for i in ids], np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        cols = [pa.array([number]), pa.array([known.tobytes()]), pa.array([sizes.tobytes()]), pa.array([blob])]
-        return pa.RecordBatch.from_arrays(cols, ["pack", "ids", "sizes", "body"])
+        cols = [pa.array([number]), pa.array([len(raw)]), pa.array([known.tobytes()]), pa.array([sizes.tobytes()]), pa.array([blob])]
+        return pa.RecordBatch.from_arrays(cols, ["pack", "n_raw", "ids", "sizes", "body"])
 
     for batch in batches:
         for i, t in zip(batch.column("doc_id"), batch.column("text")):
@@ -212,13 +215,17 @@ class SharedSegments:
 
     def __init__(self, pack: Pack, shared: list[dict] | None, buckets: int) -> None:
         first, last, hashes, doc, anchor = pack.segments()
-        known, _ = _distinct_anchors(hashes, doc)
+        order = np.argsort(hashes, kind="stable")
+        in_order = hashes[order]
+        new = np.concatenate([[True], in_order[1:] != in_order[:-1]]) if len(hashes) else np.array([], bool)
+        known = in_order[new]
         flag = np.zeros(len(known), bool)
         where = _bucket(known, buckets)
         for part in shared or ():
             lo, hi = np.searchsorted(where, [part["bucket"], part["bucket"] + 1])
             flag[lo:hi] = np.unpackbits(np.frombuffer(part["shared"], np.uint8))[: hi - lo].astype(bool)
-        hot = flag[np.searchsorted(known, hashes)] if len(known) else np.array([], bool)
+        hot = np.empty(len(hashes), bool)
+        hot[order] = flag[np.cumsum(new) - 1]
         self.first, self.last, self.doc = first[hot], last[hot], doc[hot]
         hashes, raw = hashes[hot], pack.raw
         places: dict[bytes, int] = {}
@@ -465,6 +472,11 @@ def _judged(buckets: int, with_kept: bool):
     return judge
 
 
+def bucket_count(n_bytes: int | None) -> int:
+    """Buckets for n_bytes of text, whatever the session's number of shuffle partitions."""
+    return min(1 << 24, max(1, -(-(n_bytes or 0) // BUCKET_BYTES)))
+
+
 def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, removed: array<struct(start, end)>, kept_sha256, kept; a row per input row.
 
@@ -474,16 +486,15 @@ def remove_repeats(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     their distinct anchors, five bytes each, and learn which of them other documents have. (3) The text around those, once
     per pack however often it occurs there, goes to the anchor's suffix bucket; there the suffixes are sorted and their
     longest-previous-factor array gives each string's earliest document. (4) Packs get these answers and cut. A passage
-    in a third of all documents so costs a row per pack, and no pairs are made.
+    in a third of all documents so costs a row per pack, and no pairs are made. Buckets are as many as the text's bytes ask for.
 
     Null text counts as empty; texts of fewer than MATCH bytes lose nothing. Repeated rows have equal doc_ids, so neither
     is earlier. Rows without doc_id count as later than all others, and not as each other's. Spans are byte offsets; what is
     kept may start or end inside a character and is therefore binary (null unless with_kept).
     """
-    spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    packs = docs.select("doc_id", "text").mapInArrow(_pack, "pack long, ids binary, sizes binary, body binary")
+    packs = docs.select("doc_id", "text").mapInArrow(_pack, "pack long, n_raw long, ids binary, sizes binary, body binary")
     packs = cut_bucketed(packs, "packs", "pack")
+    buckets = bucket_count(packs.agg(F.sum("n_raw")).first()[0])
     anchors = packs.mapInArrow(_anchor_rows(buckets), "bucket long, pack long, anchors binary")
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, "pack long, bucket long, shared binary")
     shared = shared.groupBy("pack").agg(F.collect_list(F.struct("bucket", "shared")).alias("shared"))

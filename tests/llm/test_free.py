@@ -195,6 +195,20 @@ def test_repeats(spark, monkeypatch):
     assert suffix.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_buckets_of_suffixes_go_by_bytes(spark, monkeypatch):
+    rng = random.Random(41)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, f"{i} " * 30 + passage[i % 7 * 20 :][: 60 + i % 90] + f"{i % 5} " * 40) for i in range(60)]
+    used, plain = [], suffix._segment_rows
+    monkeypatch.setattr(suffix, "_segment_rows", lambda buckets: used.append(buckets) or plain(buckets))
+    size = sum(len(t) for _, t in rows)
+    for per_bucket, want in ((1 << 20, 1), (1000, -(-size // 1000))):
+        monkeypatch.setattr(suffix, "BUCKET_BYTES", per_bucket, raising=False)
+        got = suffix.remove_repeats(table(spark, rows)).collect()
+        flat = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), r["kept_sha256"]) for r in got]
+        assert sorted(flat, key=repr) == plain_removal(rows) and used.pop() == want
+
+
 def test_longest_previous_factors():
     rng = np.random.default_rng(5)
     for _ in range(50):
