@@ -283,6 +283,17 @@ def test_a_family_of_permuted_lines_makes_pairs_in_proportion(spark):
     assert counts[1] <= (lines.SKETCH + 6) * lines.PAIR_LIMIT / 2 and counts[1] <= 2.5 * counts[0]
 
 
+@pytest.mark.parametrize("rows", [7, 256])
+def test_links_under_hot_keys_that_the_smallest_line_lacks(spark, monkeypatch, rows):
+    rng = random.Random(15)
+    start = "amber birch cedar delta ember fjord grove haven iris "
+    tails = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for _ in range(40)]
+    docs = [(k, start + t) for k, t in enumerate(tails)] + [(100 + k, start + t[:20] + "0" + t[21:]) for k, t in enumerate(tails)]
+    monkeypatch.setattr(lines, "ACROSS_ROWS", rows, raising=False)
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: int(k < 100) for k, _ in docs}
+
+
 def test_edits_of_long_lines_are_counted_between_what_they_share(spark):
     rng = random.Random(14)
     long = "".join(rng.choice("abcd ") for _ in range(700)).strip()
