@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.bloom import bloom_filter, possible_hits
-from tarn.llm.shared import connected_components, cut
+from tarn.llm.shared import connected_components, cut, drop, joined_components
 
 SHINGLE = 3
 SEED = 42
@@ -27,6 +27,8 @@ TREE_LIMIT = 4096
 #: Candidates share one of BANDS bands of ROWS MinHashes, 99.7 % of pairs at 0.8, and differ in at most WIDE_RADIUS bits.
 WIDE_SHINGLE, WIDE_SIMILARITY, WIDE_RADIUS = 5, 0.8, 18
 BANDS, ROWS = 8, 3
+#: Rows and bytes of shingles of a band's part; two parts at a time are compared with each other (across_links()).
+ACROSS_ROWS, ACROSS_BYTES = 2048, 16 << 20
 _MINHASH = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of byte values: _BITS[v, i] is bit i of v.
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -314,8 +316,8 @@ def shingle_links(sketches: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame
     A band's key is a shard. Its fingerprints go through a BK-tree that holds leaders: a text follows only edges within the
     radius, is paired with each leader it finds, and leads itself where it finds none. So a family of copies costs a pair for
     each of them. A shard of over part_rows rows is dealt to several tasks in parts; the parts' leaders then go through a tree of
-    the whole shard. Pairs are verified by the exact Jaccard similarity of all their shingles; a pair of texts that are both
-    near a leader but not similar to it can be missed in one band, and is found in the others, which have other leaders.
+    the whole shard. Pairs are verified by the exact Jaccard similarity of all their shingles. Texts that are both near a
+    leader but not similar to it aren't paired, nor are texts further apart than the radius: across_links() finds these.
     """
     rows = sketches.select("node", "fp", F.explode("bands").alias("band")).distinct()
     sizes = rows.groupBy("band").count().where(F.col("count") > part_rows)
@@ -333,10 +335,96 @@ def shingle_links(sketches: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long")
 
 
+def _similar_across(rows: list) -> list[tuple[int, int]]:
+    """rows (cell, side, component, node, shingles) of one cell -> (node, node) links that join all its components which similar
+    texts connect. Where a cell has two sides, only texts of different sides are compared.
+
+    The largest component's texts are compared with no others of it; each text of another one with all of the components before.
+    """
+    number: dict[int, int] = {}
+    for r in rows:
+        number[r[2]] = number.get(r[2], 0) + 1
+    rows = sorted(rows, key=lambda r: (-number[r[2]], r[2]))
+    sets = [np.frombuffer(r[4], np.uint32) for r in rows]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    side, two = np.array([r[1] for r in rows]), len({r[1] for r in rows}) > 1
+    root = {c: c for c in number}
+    mark, out, first = np.zeros(len(known), bool), [], 0
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    for i, r in enumerate(rows):
+        first = i if i and r[2] != rows[i - 1][2] else first
+        if not first:
+            continue
+        own = flat[ends[i] : ends[i + 1]]
+        mark[own] = True
+        sums = np.concatenate([[0], np.cumsum(mark[flat[: ends[first]]])])
+        mark[own] = False
+        both = sums[ends[1 : first + 1]] - sums[ends[:first]]
+        alike = both >= WIDE_SIMILARITY * (sizes[:first] + sizes[i] - both)
+        for j in np.flatnonzero(alike & (side[:first] != side[i]) if two else alike).tolist():
+            a, b = top(r[2]), top(rows[j][2])
+            if a != b:
+                root[a] = b
+                out.append((r[3], rows[j][3]))
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(rows: list) -> pa.RecordBatch:
+        found = _similar_across(rows)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    held: list = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "side", "component", "node", "shingles"))):
+            if held and held[0][0] != row[0]:
+                yield linked(held)
+                held = []
+            held.append(row)
+    if held:
+        yield linked(held)
+
+
+def across_links(sketches: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (a, b) that shingle_links() left out and that join components of found (node, component): exact in each band.
+
+    In a band that has texts of several components, each text outside the band's largest component is compared with all
+    texts of other components by all their shingles, whatever their fingerprints. Both groups are dealt out in parts of
+    ACROSS_ROWS and about ACROSS_BYTES, two of which make a cell for one task. So a family that is one component already costs as
+    many comparisons as it has texts for each outsider, and texts that share a band and aren't similar the square of their number.
+    """
+    rows = sketches.select("node", "bands", F.octet_length("shingles").cast("long").alias("size")).dropDuplicates(["node"])
+    rows = rows.join(found.select("node", F.col("component").alias("of")), "node", "left")
+    rows = rows.select("node", "size", F.coalesce("of", "node").alias("component"), F.explode("bands").alias("band")).distinct()
+    rows = held = cut(rows, "band-rows")
+    each = rows.groupBy("band", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    bands = each.groupBy("band").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    per = F.greatest(F.lit(1), F.least(F.lit(ACROSS_ROWS), F.floor(F.lit(ACROSS_BYTES) * F.col("n") / F.greatest("size", F.lit(1)))))
+    parts = [F.ceil(F.col("most.n") / per).alias("p"), F.ceil((F.col("n") - F.col("most.n")) / per).alias("q")]
+    rows = rows.join(bands.where("kinds > 1").select("band", F.col("most.component").alias("most"), *parts), "band")
+    draw, inside = F.xxhash64("band", "node"), F.col("component") == F.col("most")
+    rows = rows.withColumn("part", F.when(inside, F.pmod(draw, "p")).otherwise(F.col("p") + F.pmod(draw, "q")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
+    cell = F.xxhash64("band", F.least("part", "other"), F.greatest("part", "other")).alias("cell")
+    rows = cut(rows.select(cell, (F.col("part") > F.col("other")).alias("side"), "component", "node"), "cells")
+    drop(held)
+    texts = sketches.join(rows.select("node").distinct(), "node", "left_semi").select("node", "shingles").dropDuplicates(["node"])
+    rows = rows.join(texts, "node").repartition("cell").sortWithinPartitions("cell")
+    return rows.select("cell", "side", "component", "node", "shingles").mapInArrow(_cells, "a long, b long")
+
+
 def keep_documents(docs: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame:
     """One document of each group of similar texts, that with the smallest doc_id (null last); docs' columns.
 
-    Groups are the components of shingle_links(). Texts with the same words are in one group; so are all texts without words.
+    Groups are the components of shingle_links() and across_links(). Texts with the same words are in one group; so are all texts without words.
     Rows without doc_id belong to groups like any other, and rows that share a doc_id but have unlike texts are in different ones.
     Of rows with equal doc_id and text one stays.
     """
@@ -344,7 +432,10 @@ def keep_documents(docs: DataFrame, part_rows: int = TREE_LIMIT) -> DataFrame:
     keyed = docs.select("doc_id", "text", _row_key().alias("key"))
     kind = "doc_id long, key string, node long, fp long, bands array<long>, shingles binary"
     sketches = cut(keyed.mapInArrow(_sketches, kind), "sketches")
-    found = connected_components(shingle_links(sketches, part_rows)).withColumnRenamed("node", "n_node")
+    found = cut(connected_components(shingle_links(sketches, part_rows)), "near-groups")
+    more = cut(across_links(sketches, found), "across")
+    found = joined_components(found, more) if more.limit(1).count() else found
+    found = found.withColumnRenamed("node", "n_node")
     rows = sketches.groupBy("node", "doc_id", "key").agg(F.count("*").alias("n")).join(found, F.col("node") == F.col("n_node"), "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n")

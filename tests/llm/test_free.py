@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -108,6 +109,24 @@ def test_similar_texts_go_but_one(spark, part):
     assert got >= want and len(got - want) <= 1 and {10, 11} - got == {10, 11}
 
 
+@pytest.mark.parametrize("rows", [2, 2048])
+def test_texts_near_a_leader_that_is_unlike_them_link(spark, monkeypatch, rows):
+    def crafted(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            family, kind = [i // 4 for i in ids], [i % 4 for i in ids]
+            sets = [np.arange(0, 100) if k == 0 else np.arange(40 + k, 140 + k) for k in kind]
+            cols = [ids, batch.column("key").to_pylist(), ids, [f * 64 + (k if k < 3 else -1) for f, k in zip(family, kind)]]
+            cols += [[[f] * 8 for f in family], [s.astype(np.uint32).tobytes() for s in sets]]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "key", "node", "fp", "bands", "shingles"])
+
+    monkeypatch.setattr(simhash, "_sketches", crafted)
+    monkeypatch.setattr(simhash, "ACROSS_ROWS", rows, raising=False)
+    kept = simhash.keep_documents(table(spark, [(i, str(i)) for i in range(80)]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(80) if i % 4 < 2]
+
+
 def test_leaders_are_few_and_near():
     rng = random.Random(22)
     centres = [rng.getrandbits(64) for _ in range(5)]
