@@ -294,6 +294,30 @@ def test_links_under_hot_keys_that_the_smallest_line_lacks(spark, monkeypatch, r
     assert got == {k: int(k < 100) for k, _ in docs}
 
 
+def test_lines_under_hot_keys_meet_once_and_not_within_components(spark, monkeypatch):
+    rng = random.Random(16)
+    start = "amber birch cedar delta ember fjord grove haven iris "
+    tail = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    unlike = [(k, start + tail(38 + k % 6)) for k in range(90)]
+    copies = [(100 + k, f"{unlike[0][1]} {tail(1)}{k}") for k in range(50)]
+    likely, similar, made, compared = lines._likely, lines.similar, [], []
+    monkeypatch.setattr(lines, "_likely", lambda pairs: made.append((pairs.where("line_id <> line_id_b").count(), likely(pairs).count())) or likely(pairs))
+    monkeypatch.setattr(lines, "similar", lambda pairs, of: compared.extend(map(tuple, pairs.collect())) or similar(pairs, of))
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(spark.createDataFrame(unlike + copies, "doc_id long, text string")).collect()}
+    assert got == {k: int(k < 100) for k, _ in unlike + copies}
+    # the first two are those of candidates(); a pair shares several hot keys and up to two length classes
+    assert len(made) > 2 and made[2][0] > 0 and all(rows == pairs for rows, pairs in made[2:])
+    assert len(compared) == len(set(compared))
+
+
+def test_alike_lines_are_compared_as_a_forest(spark, monkeypatch):
+    docs = [(k, f"amber birch cedar delta ember fjord grove haven iris juniper kelp {k}") for k in range(60)]
+    similar, compared = lines.similar, []
+    monkeypatch.setattr(lines, "similar", lambda pairs, of: compared.extend(map(tuple, pairs.collect())) or similar(pairs, of))
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: int(k == 0) for k, _ in docs} and len(compared) == 59
+
+
 def test_edits_of_long_lines_are_counted_between_what_they_share(spark):
     rng = random.Random(14)
     long = "".join(rng.choice("abcd ") for _ in range(700)).strip()
