@@ -16,6 +16,13 @@ def _by_file() -> Window:
     return Window.partitionBy("dev", "ino").orderBy("lsn")
 
 
+def _later(value: Column, *keys: str) -> Column:
+    """The first value that isn't null in the rows after this one, by lsn. Rows are taken from the last one on, in frames that grow:
+    one that ends with the partition is summed up anew for each row, the square of the partition's rows in all."""
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("lsn")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(value, ignorenulls=True).over(backwards)
+
+
 # ---------------------------------------------------------------- fold
 
 
@@ -34,7 +41,7 @@ def generations(journal: DataFrame) -> DataFrame:
     return ups.withColumns(
         {
             "oid": F.last(start, ignorenulls=True).over(_by_file().rowsBetween(Window.unboundedPreceding, 0)),
-            "ends": F.first(start, ignorenulls=True).over(_by_file().rowsBetween(1, Window.unboundedFollowing)),
+            "ends": _later(start, "dev", "ino"),
             "clears": F.col("fresh") | changed,
         }
     )
@@ -54,14 +61,12 @@ def bindings(journal: DataFrame, gens: DataFrame | None = None) -> DataFrame:
     ).unionByName(
         journal.where("op = 'content'").select("lsn", "wall_time_ns", "op", "path", F.lit(None).cast("struct<oid:long,ends:long>").alias("b"))
     )
-    moves = F.when(F.col("op") != "content", F.col("lsn"))
-    after = _by_path().rowsBetween(1, Window.unboundedFollowing)
+    moves = F.when(F.col("op") != "content", F.struct("lsn", "wall_time_ns"))
     events = events.withColumns(
         {
             "now": F.last("b", ignorenulls=True).over(_by_path().rowsBetween(Window.unboundedPreceding, 0)),
             "was": F.last("b", ignorenulls=True).over(_by_path().rowsBetween(Window.unboundedPreceding, -1)),
-            "next_lsn": F.first(moves, ignorenulls=True).over(after),
-            "next_wall": F.first(F.when(F.col("op") != "content", F.col("wall_time_ns")), ignorenulls=True).over(after),
+            "next": _later(moves, "path"),
         }
     )
     live = lambda b: F.when(b["ends"].isNull() | (b["ends"] > F.col("lsn")), b["oid"])
@@ -69,7 +74,8 @@ def bindings(journal: DataFrame, gens: DataFrame | None = None) -> DataFrame:
         {
             "oid": live(F.col("now")),
             "ends": F.col("now.ends"),
-            "until": F.least("next_lsn", "now.ends"),
+            "until": F.least("next.lsn", "now.ends"),
+            "next_wall": F.col("next.wall_time_ns"),
             "before": live(F.col("was")),
         }
     )

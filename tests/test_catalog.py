@@ -77,6 +77,13 @@ def test_fold_equals_sequential_application(spark):
         assert half == sequential(rows[:30])[1]
 
 
+def test_no_frame_is_summed_up_anew_for_each_row(spark):
+    """Frames that end with their partition cost the square of its rows, and an identity or a path has many."""
+    journal = spark.createDataFrame(changelog(3), JOURNAL)
+    for fold in (catalog.objects, catalog.entries, catalog.deltas):
+        assert "unboundedfollowing" not in fold(journal)._jdf.queryExecution().optimizedPlan().toString().lower(), fold
+
+
 def test_deltas_replay_to_the_catalog(spark):
     rows = changelog(99)
     journal = spark.createDataFrame(rows, JOURNAL)
