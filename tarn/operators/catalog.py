@@ -153,19 +153,29 @@ def sweep(objects_now: DataFrame, now_ns: int, grace_ns: int) -> DataFrame:
 
 
 def invariant_violations(objects_now: DataFrame, entries_now: DataFrame) -> DataFrame:
-    """rule, n of each broken rule; empty when the fold is sound."""
-    listed = objects_now.select("oid", F.explode("entry_paths").alias("path"))
+    """rule, n of each broken rule; empty when the fold is sound. Each table is taken once: an object is a row for its identity and
+    one for each path it lists, an entry is one, and rows of the same meet."""
+    row = lambda what, a, b, path, **n: F.struct(
+        F.lit(what).alias("what"), a.alias("a"), b.alias("b"), path.alias("path"),
+        *[F.lit(n.get(k, 0)).cast("long").alias(k) for k in ("listed", "entry", "wrong")],
+    )
+    none = F.lit(None)
+    orphan = F.coalesce(F.col("orphaned_at_ns").isNotNull() != (F.size("entry_paths") == 0), F.lit(False))
+    identity = row("file", F.col("dev"), F.col("ino"), none.cast("string"), wrong=orphan.cast("long"))
+    paths = F.coalesce("entry_paths", F.array().cast("array<string>"))
+    listed = F.transform(paths, lambda p: row("path", F.col("oid"), none.cast("long"), p, listed=1))
+    rows = objects_now.select(F.explode(F.concat(F.array(identity), listed)).alias("r"))
+    rows = rows.unionByName(entries_now.select(row("path", F.col("oid"), none.cast("long"), F.col("path"), entry=1).alias("r"))).select("r.*")
+    met = rows.groupBy("what", "a", "b", "path").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("listed", "entry", "wrong")])
+    known = F.col("a").isNotNull() & F.col("path").isNotNull()  # nulls are equal to nothing
     rules = {
-        "orphan has entries": objects_now.where(F.col("orphaned_at_ns").isNotNull() != (F.size("entry_paths") == 0)),
-        "listed path maps elsewhere": listed.join(entries_now, ["oid", "path"], "left_anti"),
-        "entry not listed": entries_now.join(listed, ["oid", "path"], "left_anti"),
-        "identity not unique": objects_now.groupBy("dev", "ino").count().where("count > 1"),
+        "orphan has entries": F.sum("wrong"),
+        "listed path maps elsewhere": F.sum(F.when(~known | (F.col("entry") == 0), F.col("listed"))),
+        "entry not listed": F.sum(F.when(~known | (F.col("listed") == 0), F.col("entry"))),
+        "identity not unique": F.count(F.when((F.col("what") == "file") & (F.col("n") > 1), 1)),
     }
-    out = None
-    for rule, bad in rules.items():
-        row = bad.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out.where("n > 0")
+    found = met.agg(F.array(*[F.struct(F.lit(rule).alias("rule"), n.alias("n")) for rule, n in rules.items()]).alias("r"))
+    return found.select(F.explode("r").alias("r")).select("r.*").where("n > 0")
 
 
 # ---------------------------------------------------------------- scans

@@ -94,6 +94,18 @@ def test_deltas_replay_to_the_catalog(spark):
     assert {p: o for p, o in state.items() if p in live} == live
 
 
+def test_invariants_take_each_table_once(spark):
+    objects = spark.createDataFrame(
+        [(1, 1, 1, ["/a", "/b"], None), (2, 1, 1, [], None), (3, 1, 2, ["/c"], 5), (4, None, None, None, None), (5, None, None, [None], None)],
+        "oid long, dev long, ino long, entry_paths array<string>, orphaned_at_ns long",
+    )
+    entries = spark.createDataFrame([("/a", 1), ("/b", 2), ("/c", 3), ("/d", 1), (None, 5)], "path string, oid long")
+    found = catalog.invariant_violations(objects, entries)
+    want = {"orphan has entries": 2, "listed path maps elsewhere": 2, "entry not listed": 3, "identity not unique": 2}
+    assert {r["rule"]: r["n"] for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def test_empty_journal(spark):
     empty = spark.createDataFrame([], JOURNAL)
     assert catalog.objects(empty).count() == 0 and catalog.entries(empty).count() == 0 and catalog.deltas(empty).count() == 0
