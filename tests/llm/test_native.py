@@ -310,6 +310,24 @@ def test_lines_under_hot_keys_meet_once_and_not_within_components(spark, monkeyp
     assert len(compared) == len(set(compared))
 
 
+def test_lines_are_shuffled_in_slices(spark, monkeypatch):
+    rng = random.Random(17)
+    start = "amber birch cedar delta ember fjord grove haven iris "
+    tail = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    unlike = [(k, start + tail(38 + k % 6)) for k in range(80)]
+    near = [(100 + k, t[:60] + "0" + t[61:]) for k, t in unlike[::4]]
+    docs = spark.createDataFrame(unlike + near, "doc_id long, text string")
+    met, keyed, cut_slices, slices = lines._met, [], getattr(lines, "cut_slices", None), {}
+    monkeypatch.setattr(lines, "_met", lambda rows, counts: keyed.append(rows.count()) or met(rows, counts))
+    monkeypatch.setattr(lines, "cut_slices", lambda part, n, name, **how: slices.setdefault(name, []).append(n) or cut_slices(part, n, name, **how), raising=False)
+    monkeypatch.setattr(lines, "LEAST_SLICE", 700, raising=False)
+    got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs).collect()}
+    assert got == {k: int(k < 100) for k, _ in unlike + near}
+    *first, _ = keyed  # the last are finer keys
+    assert len(first) > 2 and max(first) <= sum(first) / 2
+    assert max(slices["across-pairs"]) > 1 and max(slices["line-links"]) > 1
+
+
 def test_alike_lines_are_compared_as_a_forest(spark, monkeypatch):
     docs = [(k, f"amber birch cedar delta ember fjord grove haven iris juniper kelp {k}") for k in range(60)]
     similar, compared = lines.similar, []
