@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.batches import pieces
 from tarn.functions.text import words
 
 CHUNK_BYTES = 1000
@@ -89,11 +90,12 @@ def chunk(text: str, target: int = CHUNK_BYTES) -> list[tuple[int, str]]:
 
 
 def embed_chunks(docs: DataFrame, embedder: Embedder) -> DataFrame:
-    """docs (oid, text) -> chunks (oid, chunk_offset, embedder_id, embedder_version, vec). Chunks without words are left out."""
+    """docs (oid, text) -> chunks (oid, chunk_offset, embedder_id, embedder_version, vec). Chunks without words are left out.
+    Vectors of a piece of a batch are held at a time."""
     name, version = embedder.id, embedder.version
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text")):
             oids, offsets, vecs = [], [], []
             for oid, text in zip(batch.column("oid").to_pylist(), batch.column("text").to_pylist()):
                 for offset, part in chunk(text or ""):

@@ -1,6 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tarn.functions import text as tx
+from tarn.functions.batches import PIECE_ROWS
 from tarn.functions.snippets import excerpt, span
 from tarn.functions.vectors import HashEmbedder, chunk, dot, embed_chunks, fnv1a, normalize
 from tarn.operators import metrics
@@ -86,3 +88,25 @@ def test_failures_and_limits(spark):
     rows = spark.createDataFrame([("complete",), ("encrypted",), ("password-required",), ("odd",), ("corrupt",)], "s string")
     assert {r["failure"]: r["n"] for r in metrics.failure_counts(rows, "s").collect()} == {"encrypted": 2, "other": 1, "corrupt": 1}
     assert clamp(0) == 1 and clamp(5000) == 1000
+
+
+class Held:
+    """A table whose mapInArrow() gives the function back."""
+
+    dtypes = [("path", "string")]
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+_TEXTS = ["one two " * 40] * 999 + [None, "", "three " * 400_000]
+
+
+def test_vectors_are_held_in_pieces_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"oid": list(range(len(_TEXTS))), "text": _TEXTS})
+    out = list(embed_chunks(Held(), HashEmbedder(8))([batch]))
+    assert [o for b in out for o in b.column("oid").to_pylist()] == [*range(999), 1001]
+    assert max(b.num_rows for b in out) <= PIECE_ROWS
