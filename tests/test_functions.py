@@ -7,6 +7,7 @@ from tarn.functions.snippets import excerpt, span
 from tarn.functions.vectors import HashEmbedder, chunk, dot, embed_chunks, fnv1a, normalize
 from tarn.operators import metrics
 from tarn.schema import clamp
+from tarn.sources.extract import extract_files
 
 WORDS = (
     "ledger north-by-northwest l'été I/O F# ΑΣ ÉCLAIR İzmir ǅungla read_me.txt 7½ x86-64 ٣٤ किताबें ภาษาไทย كِتابٌ तमिழ் 漢字かな ﬁn a\u0301b "
@@ -110,3 +111,12 @@ def test_vectors_are_held_in_pieces_of_a_batch():
     out = list(embed_chunks(Held(), HashEmbedder(8))([batch]))
     assert [o for b in out for o in b.column("oid").to_pylist()] == [*range(999), 1001]
     assert max(b.num_rows for b in out) <= PIECE_ROWS
+
+
+def test_extracted_texts_are_held_in_pieces_of_a_batch():
+    paths, raw = [f"{i}.txt" for i in range(len(_TEXTS))], [None if t is None else t.encode() for t in _TEXTS]
+    batch = pa.RecordBatch.from_pydict({"path": paths, "content": pa.array(raw, pa.binary()), "length": [len(r or b"") for r in raw]})
+    out = list(extract_files(Held())([batch]))
+    assert [p for b in out for p in b.column("path").to_pylist()] == paths
+    assert max(b.num_rows for b in out) <= PIECE_ROWS and out[-1].num_rows == 1
+    assert list(extract_files(Held())([batch.slice(0, 0)])) == []
