@@ -19,10 +19,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _runs(text: Column | str) -> Column:
+    parts = F.split(F.coalesce(_col(text), F.lit("")), _SPLIT)
+    return F.filter(parts, lambda t: (t != "") & (F.octet_length(t) < LONG_TOKEN))
+
+
 def tokens(text: Column | str) -> Column:
     """array<string>: runs of letters and digits under LONG_TOKEN bytes, lower-cased; nulls have none."""
-    parts = F.split(F.coalesce(_col(text), F.lit("")), _SPLIT)
-    return F.transform(F.filter(parts, lambda t: (t != "") & (F.octet_length(t) < LONG_TOKEN)), F.lower)
+    return F.transform(_runs(text), F.lower)
+
+
+def n_tokens(text: Column | str) -> Column:
+    """How many tokens() a text has."""
+    return F.size(_runs(text))
 
 
 def words(text: str) -> list[str]:

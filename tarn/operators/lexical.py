@@ -8,24 +8,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import ordered_tokens, query_tokens, tokens
+from tarn.functions.text import n_tokens, ordered_tokens, query_tokens, tokens
 
 K1, B = 1.2, 0.75
 TERM_BUCKETS = 256
 
 
-def build_postings(docs: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+def build_postings(docs: DataFrame, terms: Sequence[str] | None = None, asked: DataFrame | None = None) -> DataFrame:
     """docs (oid, text) -> term, oid, tf, doc_len, term_bucket; tf is summed before the shuffle. With terms, only theirs: other
-    tokens are dropped inside the row, before they would become rows."""
+    tokens are dropped inside the row, before they would become rows. With asked (term), which goes to every task, only
+    theirs: other tokens are dropped before the shuffle."""
     rows = docs.select("oid", tokens("text").alias("t"))
     kept = F.col("t") if terms is None else F.filter("t", lambda t: t.isin(list(terms)))
     rows = rows.select("oid", F.size("t").alias("doc_len"), F.explode(kept).alias("term"))
+    rows = rows if asked is None else rows.join(F.broadcast(asked), "term", "left_semi")
     rows = rows.groupBy("oid", "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
     return rows.select("term", "oid", "tf", "doc_len", F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).alias("term_bucket"))
 
 
 def build_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("oid", F.size(tokens("text")).alias("doc_len"))
+    return docs.select("oid", n_tokens("text").alias("doc_len"))
 
 
 def build_symbols(docs: DataFrame) -> DataFrame:
@@ -115,17 +117,19 @@ class LexicalPlane:
     def top_each(self, queries: DataFrame, limit: int, tf_mode: str = "binary") -> DataFrame:
         """query, oid, score: the best documents of each of many queries in one job, as top() ranks them.
 
-        queries (query, term) has a row for each term of a query. Ranks are cut to the limit on the map side first, so a query
-        that most documents match sends no more than that many rows from a task."""
+        queries (query, term) has a row for each term of a query, and is sent to every task, as are the counts of its terms: tokens
+        that no query asks for don't leave their task, and a term that most documents have doesn't gather in one. Ranks are
+        cut to the limit on the map side first, so a query that most documents match sends no more than that many rows from a task."""
         asked = queries.select("query", "term").distinct()
         need = asked.groupBy("query").agg(F.count("*").alias("terms"))
-        rows = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
+        terms = asked.select("term").distinct()
+        rows = self.postings.join(F.broadcast(terms), "term", "left_semi") if self.docs is None else build_postings(self.docs, asked=terms)
         df = rows.groupBy("term").agg(F.count("*").alias("df"))
         every = self.lengths.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-        rows = rows.join(df, "term").crossJoin(F.broadcast(every))  # one row
-        rows = rows.select("term", "oid", bm25(tf_mode).alias("part")).join(asked, "term")
+        rows = rows.join(F.broadcast(df), "term").crossJoin(F.broadcast(every))  # as many rows as terms; one row
+        rows = rows.select("term", "oid", bm25(tf_mode).alias("part")).join(F.broadcast(asked), "term")
         found = rows.groupBy("query", "oid").agg(F.count("*").alias("n"), F.round(F.sum("part"), 6).alias("score"))
-        found = found.join(need, "query").where(F.col("n") == F.col("terms"))
+        found = found.join(F.broadcast(need), "query").where(F.col("n") == F.col("terms"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "oid"))
         return found.withColumn("rank", rank).where(F.col("rank") <= max(limit, 1)).select("query", "oid", "score")
 

@@ -32,3 +32,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path), "-name", "note"]) == 0 and capsys.readouterr().out == "/a/Note.txt\n"
     assert main([str(tmp_path), "kMDItemFSSize > 1", "-count", "-onlyin", "/b"]) == 0 and capsys.readouterr().out == "1\n"
     assert main([str(tmp_path), "kMDItemFSSize > 1", "--explain"]) == 0 and "CatalogScan" in capsys.readouterr().out
+
+
+def test_tokens_that_no_query_asks_for_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, "three"), (4, None)], "oid long, text string")
+    asked = spark.createDataFrame([("a", "two"), ("b", "two"), ("b", "three"), ("c", "none")], "query string, term string")
+    plane = LexicalPlane.build(docs)
+    found = plane.top_each(asked, 5)
+    assert {(r["query"], r["oid"]) for r in found.collect()} == {("a", 1), ("a", 2), ("b", 2)}
+    assert found.where("query = 'a'").orderBy("oid").select("oid", "score").collect() == plane.top("two", 5).orderBy("oid").collect()
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.index("Aggregate [oid") < tree.index("LeftSemi")
