@@ -321,11 +321,12 @@ def test_lines_are_shuffled_in_slices(spark, monkeypatch):
     monkeypatch.setattr(lines, "_met", lambda rows, counts: keyed.append(rows.count()) or met(rows, counts))
     monkeypatch.setattr(lines, "cut_slices", lambda part, n, name, **how: slices.setdefault(name, []).append(n) or cut_slices(part, n, name, **how), raising=False)
     monkeypatch.setattr(lines, "LEAST_SLICE", 700, raising=False)
+    monkeypatch.setattr(lines, "ACROSS_ROWS", 40)
     got = {r["doc_id"]: r["n_kept"] for r in lines.dedup_lines(docs).collect()}
     assert got == {k: int(k < 100) for k, _ in unlike + near}
     *first, _ = keyed  # the last are finer keys
     assert len(first) > 2 and max(first) <= sum(first) / 2
-    assert max(slices["across-pairs"]) > 1 and max(slices["line-links"]) > 1
+    assert max(slices["open-rows"]) > 1 and max(slices["across-pairs"]) > 1 and max(slices["line-links"]) > 1
 
 
 def test_alike_lines_are_compared_as_a_forest(spark, monkeypatch):
